@@ -1,0 +1 @@
+"""tablewright.streaming"""
