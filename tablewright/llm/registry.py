@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tablewright.llm import exact_dedup
+from tablewright.llm import exact_dedup, secrets_scan
 
 QUERIES = {
+    "op1_secret_scans": secrets_scan.op1_secret_scans,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
 }
 

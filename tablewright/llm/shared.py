@@ -53,16 +53,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) of (_id, _text) batches, cut between rows at about ``most`` bytes."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False) if batch.column(0).null_count == 0 else np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
         data, offsets = buffers(batch.column(1))
-        at, rows = 0, len(ids)
+        at, rows = 0, batch.num_rows
         while at < rows:
             to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
             to = min(rows, max(to, at + 1))
-            yield ids[at:to], data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            yield batch.column(0).slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
 
