@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tablewright.llm import exact_dedup, secrets_scan
+from tablewright.llm import bpe, exact_dedup, secrets_scan
 
 QUERIES = {
     "op1_secret_scans": secrets_scan.op1_secret_scans,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
 }
 
