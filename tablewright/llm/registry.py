@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tablewright.llm import bpe, exact_dedup, secrets_scan
+from tablewright.llm import bpe, decontaminate, exact_dedup, secrets_scan
 
 QUERIES = {
     "op1_secret_scans": secrets_scan.op1_secret_scans,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op9_benchmark_decontamination": decontaminate.SQL,
 }
