@@ -13,8 +13,9 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewright.llm.shared import chunks, whole_texts
+from tablewright.llm.shared import carried, chunks, opened, whole_texts
 
 SHIFT = 0x100
 """Byte b is written as code point 256 + b in the pieces, so every byte string is a text and back."""
@@ -126,12 +127,13 @@ def codec(path: str, pattern: str) -> Codec:
 PIECE_BYTES = 1 << 20
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns one row per row: ``doc_id``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit) and
     ``decoded`` (binary, the ids' bytes: the text's UTF-8). Null and empty texts have no ids. Repeated rows
-    and very long texts are encoded like any other; other columns are not read. There is no shuffle.
+    and very long texts are encoded like any other; other columns are not read or, with ``carry``, passed through, the new
+    ones taking the place of namesakes. There is no shuffle.
     ``path`` must be readable on the executors.
     """
 
@@ -143,7 +145,10 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             packed = own.encode([raw[a:b].decode() for a, b in zip(marks, marks[1:], strict=False)])
             yield pa.record_batch([ids, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array([own.decode(p) for p in packed], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return whole_texts(docs, id_col, text_col).mapInArrow(work, "doc_id long, n_tokens long, ids binary, decoded binary")
+    rows = carried(docs, text_col) if carry else whole_texts(docs, id_col, text_col)
+    kinds = {"doc_id": rows.schema["_id"].dataType, "n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.BinaryType()}
+    found = rows.mapInArrow(work, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
+    return opened(found, "doc_id", ["n_tokens", "ids", "decoded"]) if carry else found
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.components import components
-from tablewright.llm.shared import chunks, materialise, shingles, whole_texts
+from tablewright.llm.shared import chunks, materialise, shingles, small, whole_texts
 
 THRESHOLD = 75
 CHUNK = 4 << 20
@@ -20,14 +20,6 @@ BUCKET_TEXT = 16 << 20
 CELL_TOKENS = 200_000
 """Tokens of the sets held in one cell: a group or a part of it that one task compares."""
 CELL_QUERIES = 1_000
-BROADCAST_ROWS = 500_000
-"""Rows of (identifier) or (key, count) that may be broadcast, 16 MB; beyond, the join shuffles."""
-
-
-def small(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` written once, and marked for broadcast if its counted rows allow it."""
-    written = materialise(df, name)
-    return F.broadcast(written) if written.count() <= most else written
 
 
 def need(n: np.ndarray | int, threshold: int) -> np.ndarray | int:

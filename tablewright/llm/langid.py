@@ -10,8 +10,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewright.llm.shared import chunks, mix, whole_texts
+from tablewright.llm.shared import carried, chunks, mix, opened, whole_texts
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -176,12 +177,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return Model(languages, np.ascontiguousarray((weights * idf[:, None]).T), bias, temperature)
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (calibrated probability of lang_pred) of every whole text.
 
     A text that is null or has no letter, and every text if nothing was learned, is ``und`` with score 0.
     Ties go to the first language by name. Each row stands alone: repeated rows get equal answers, long
-    texts are read whole, an empty table gives an empty result and other columns are not read.
+    texts are read whole, an empty table gives an empty result and other columns are not read; with
+    ``carry`` they are passed through, ``lang_pred`` and ``score`` taking the place of namesakes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -199,7 +201,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 scores = np.where(letters, p[np.arange(len(best)), best], 0.0)
             yield pa.record_batch([ids, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return whole_texts(docs, id_col, text_col).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    rows = carried(docs, text_col) if carry else whole_texts(docs, id_col, text_col)
+    schema = T.StructType([T.StructField("doc_id", rows.schema["_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = rows.mapInArrow(work, schema)
+    return opened(found, "doc_id", ["lang_pred", "score"]) if carry else found
 
 
 def held_out(id_col: str, fold: int, at: int) -> Column:

@@ -39,6 +39,27 @@ def whole_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
 
+def carried(df: DataFrame, text_col: str) -> DataFrame:
+    """(_id, _text) with the whole row as ``_id``, for operators that pass rows through."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+
+
+def opened(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """The carried row's columns and ``columns``, which win where names clash."""
+    own = [f.name for f in df.schema[row].dataType.fields if f.name not in columns]
+    return df.select(*[F.col(row)[c].alias(c) for c in own], *columns)
+
+
+BROADCAST_ROWS = 500_000
+"""Rows of an identifier, or a key and a count, that may be broadcast: 16 MB at most."""
+
+
+def small(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written once, and marked for broadcast if its counted rows allow it; beyond, joins shuffle."""
+    written = materialise(df, name)
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary array and the offset of each value, nulls as empty."""
     if column.null_count:
