@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, secrets_scan
+from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, quality_fm, secrets_scan
 
 QUERIES = {
     "op1_secret_scans": secrets_scan.op1_secret_scans,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_quality_classifier": quality_fm.op5_quality_classifier,
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_language_id": langid.op10_language_id,
