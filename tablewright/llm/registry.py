@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, quality_fm, secrets_scan
+from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, quality_fm, secrets_scan, warc_zip
 
 QUERIES = {
     "op1_secret_scans": secrets_scan.op1_secret_scans,
+    "op3_warc_zip": warc_zip.op3_warc_zip,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality_classifier": quality_fm.op5_quality_classifier,
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
