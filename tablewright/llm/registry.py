@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, quality_fm, secrets_scan, warc_zip
+from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, quality_fm, secrets_scan, warc_zip
 
 QUERIES = {
     "op1_secret_scans": secrets_scan.op1_secret_scans,
     "op3_warc_zip": warc_zip.op3_warc_zip,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality_classifier": quality_fm.op5_quality_classifier,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_language_id": langid.op10_language_id,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op6_line_dedup": line_dedup.SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
 }
