@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, quality_fm, secrets_scan, warc_zip
+from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, lm_trie, quality_fm, secrets_scan, warc_zip
 
 QUERIES = {
     "op1_secret_scans": secrets_scan.op1_secret_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality_classifier": quality_fm.op5_quality_classifier,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_lm_scoring": lm_trie.op7_lm_scoring,
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_language_id": langid.op10_language_id,
