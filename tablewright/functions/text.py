@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 QUOTES = ("“”’", "\"\"'")
 DASHES = ("–—", "--")
@@ -67,8 +68,8 @@ def norm_compatible(c: Column | str) -> Column:
 
 
 def norm_entity(c: Column | str) -> Column:
-    """Case-folded (via upper case, so that sharp s equals ss), collapsed."""
-    return F.lower(F.upper(collapse(strip(F.coalesce(col(c), F.lit(""))))))
+    """Case-folded (sharp s equals ss), collapsed."""
+    return F.replace(F.lower(collapse(strip(F.coalesce(col(c), F.lit(""))))), F.lit("ß"), F.lit("ss"))
 
 
 def norm_adapter(c: Column | str) -> Column:
@@ -83,7 +84,7 @@ def clean_value(c: Column | str) -> Column:
     return null_if_blank(strip(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(values: pd.Series) -> pd.Series:
     return values.map(lambda v: html.unescape(v) if isinstance(v, str) and "&" in v else v)
 
