@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The table ``name`` of ``directory``; columns and filters are pruned by the scan."""
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` written to the shared folder and read again: several branches can follow without planning or computing it anew.
+
+    The folder is spark.checkpoint.dir, which driver and executors share, or where none is set the warehouse.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/tablewright-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

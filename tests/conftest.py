@@ -16,10 +16,13 @@ def spark(tmp_path_factory):
         "tests",
         master="local[4]",
         extra={
-            "spark.sql.shuffle.partitions": "4",
             "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
             "spark.sql.warehouse.dir": f"file://{tmp_path_factory.mktemp('warehouse')}",
             "spark.default.parallelism": "4",
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+            "spark.sql.adaptive.enabled": "false",
+            "spark.sql.shuffle.partitions": "2",
         },
     )
     yield session

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
 from tablewright.operators import catalog, context, evaluate, questions, records, retrieve
+from tablewright.sources.tables import cut
 
 ITEMS = [f"UNIT-{k}A" for k in range(1, 8)]
 SCHEMA = "record_id string, ord long, page int, table_id string, row_number int, item string, section string, subsection string, parameter string, sub_parameter string, sub_sub_parameter string, side string, values map<string,string>, values_json map<string,string>"
@@ -24,13 +25,12 @@ def seven_pages():
 
 @pytest.fixture(scope="module")
 def recs(spark):
-    own = spark.createDataFrame(seven_pages(), SCHEMA)
-    return records.retrieval_text(own).persist()
+    return cut(records.retrieval_text(spark.createDataFrame(seven_pages(), SCHEMA)))
 
 
 @pytest.fixture(scope="module")
 def posted(recs):
-    return retrieve.postings(recs, tx.search_tokens(retrieve.search_text(recs))).persist()
+    return cut(retrieve.postings(recs, tx.search_tokens(retrieve.search_text(recs))))
 
 
 def asked(spark, *texts):
@@ -98,9 +98,9 @@ def test_bm25_matches_a_plain_loop(spark, recs, posted):
 
 @pytest.fixture(scope="module")
 def known(recs):
-    entries = catalog.value_entries(recs).persist()
-    values = catalog.value_index(entries).persist()
-    return catalog.schema_terms(recs).persist(), catalog.item_index(recs).persist(), entries, catalog.identifier_fields(values).persist(), values
+    entries = cut(catalog.value_entries(recs))
+    values = cut(catalog.value_index(entries))
+    return cut(catalog.schema_terms(recs)), cut(catalog.item_index(recs)), entries, cut(catalog.identifier_fields(values)), values
 
 
 def test_adapter_modes(spark, recs, posted, known):
@@ -108,7 +108,7 @@ def test_adapter_modes(spark, recs, posted, known):
     q = asked(
         spark, "What is the inlet line size of UNIT-1A?", "which item has material code TC9735132581", "list the water conditions", "material code of any unit", "item of ZZZZ-999", "what colour is it", "press of UNIT-5A", "material code QX99887766 flow",
     )
-    intents = questions.unknown_identifier(questions.understand(q, terms, items, entries, fields), fields).persist()
+    intents = questions.unknown_identifier(questions.understand(q, terms, items, entries, fields), fields)
     kinds = {r.query_id: r.intent_type for r in intents.collect()}
     assert kinds[0] == "entity_scoped_lookup" and kinds[2] == "section_lookup" and kinds[3] == "schema_lookup" and kinds[5] == "unresolved"
     hits, summary = questions.adapter_search(intents, recs, posted, values)
