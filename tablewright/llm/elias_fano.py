@@ -13,6 +13,9 @@ for _b in range(256):
         _NTH[_b, _k] = _p
 
 
+BLOCK = 1 << 15
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Position of the k-th set bit of each 64-bit word."""
     parts = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
@@ -27,12 +30,11 @@ class EliasFano:
     """A non-decreasing sequence of n unsigned numbers in about 2 + log2(range / n) bits each.
 
     The low bits of each number are packed; the high parts are a unary bit vector with a running count of
-    ones for each 64-bit word, so element access and successor search take a few steps in any order.
+    ones and zeros for each 64-bit word, so element access and successor search take a few steps in any order.
     """
 
-    def __init__(self, n: int, low_bits: int, upper: np.ndarray, ones: np.ndarray, low: np.ndarray):
-        self.n, self.low_bits, self.upper, self.ones, self.low = n, low_bits, upper, ones, low
-        self.zeros = 64 * np.arange(len(ones), dtype=np.int64) - ones
+    def __init__(self, n: int, low_bits: int, upper: np.ndarray, ones: np.ndarray, zeros: np.ndarray, low: np.ndarray):
+        self.n, self.low_bits, self.upper, self.ones, self.zeros, self.low = n, low_bits, upper, ones, zeros, low
 
     @classmethod
     def build(cls, values: np.ndarray) -> "EliasFano":
@@ -45,17 +47,22 @@ class EliasFano:
         bits = np.zeros(size, np.uint8)
         bits[high + np.arange(n)] = 1
         upper = np.packbits(bits, bitorder="little").view(np.uint64)
-        ones = np.concatenate([[0], np.cumsum(_ONES[upper.view(np.uint8)].reshape(-1, 8).sum(axis=1))[:-1]]).astype(np.int64)
-        low = np.zeros(0, np.uint8)
-        if low_bits:
-            rest = values & np.uint64((1 << low_bits) - 1)
-            plane = ((rest[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            low = np.packbits(plane.reshape(-1), bitorder="little")
-        return cls(n, low_bits, upper, ones, np.concatenate([low, np.zeros(8, np.uint8)]))
+        if size >= 1 << 32:
+            raise ValueError("a sequence must have fewer than 2^32 upper bits; take more shards")
+        ones = np.concatenate([[0], np.cumsum(_ONES[upper.view(np.uint8)].reshape(-1, 8).sum(axis=1, dtype=np.int64))[:-1]])
+        zeros = 64 * np.arange(len(ones)) - ones
+        low = []
+        for at in range(0, n if low_bits else 0, BLOCK):  # a block's bits fill whole bytes
+            rest = values[at : at + BLOCK]
+            plane = np.empty((len(rest), low_bits), np.uint8)
+            for bit in range(low_bits):
+                plane[:, bit] = (rest >> np.uint64(bit)) & np.uint64(1)
+            low.append(np.packbits(plane.reshape(-1), bitorder="little"))
+        return cls(n, low_bits, upper, ones.astype(np.uint32), zeros.astype(np.uint32), np.concatenate([*low, np.zeros(8, np.uint8)]))
 
     def to_bytes(self) -> bytes:
         pad = -len(self.low) % 8
-        return struct.pack("<4Q", self.n, self.low_bits, len(self.upper), len(self.low) + pad) + self.upper.tobytes() + self.ones.tobytes() + self.low.tobytes() + bytes(pad)
+        return struct.pack("<4Q", self.n, self.low_bits, len(self.upper), len(self.low) + pad) + self.upper.tobytes() + self.ones.tobytes() + self.zeros.tobytes() + self.low.tobytes() + bytes(pad)
 
     @classmethod
     def read(cls, raw: memoryview, at: int) -> tuple["EliasFano", int]:
@@ -63,9 +70,10 @@ class EliasFano:
         n, low_bits, words, low = struct.unpack_from("<4Q", raw, at)
         at += 32
         upper = np.frombuffer(raw, np.uint64, words, at)
-        ones = np.frombuffer(raw, np.int64, words, at + 8 * words)
+        ones = np.frombuffer(raw, np.uint32, words, at + 8 * words)
+        zeros = np.frombuffer(raw, np.uint32, words, at + 12 * words)
         at += 16 * words
-        return cls(n, low_bits, upper, ones, np.frombuffer(raw, np.uint8, low, at)), at + low
+        return cls(n, low_bits, upper, ones, zeros, np.frombuffer(raw, np.uint8, low, at)), at + low
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -77,15 +85,15 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Elements by index."""
-        word = np.searchsorted(self.ones, i, side="right") - 1
-        place = 64 * word + _select_in_word(self.upper[word], i - self.ones[word])
+        word = np.searchsorted(self.ones, i.astype(np.uint32), side="right") - 1
+        place = 64 * word + _select_in_word(self.upper[word], i - self.ones[word].astype(np.int64))
         return (place - i).astype(np.uint64) << np.uint64(self.low_bits) | self.lows(i)
 
     def _before(self, high: np.ndarray) -> np.ndarray:
         """How many elements have a high part below ``high``."""
         k = np.maximum(high - 1, 0)
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        place = 64 * word + _select_in_word(~self.upper[word], k - self.zeros[word])
+        word = np.searchsorted(self.zeros, k.astype(np.uint32), side="right") - 1
+        place = 64 * word + _select_in_word(~self.upper[word], k - self.zeros[word].astype(np.int64))
         return np.where(high > 0, place - k, 0)
 
     def successor(self, x: np.ndarray) -> np.ndarray:

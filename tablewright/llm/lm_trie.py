@@ -19,7 +19,7 @@ from tablewright.llm.elias_fano import EliasFano
 from tablewright.llm.langid import held_out
 from tablewright.llm.shared import chunks, mix, shared_dir, span_hashes, whole_texts, words
 
-SHARD_TEXT = 16 << 20
+SHARD_TEXT = 8 << 20
 """Bytes of training text whose n-grams make one shard, on average; the number of shards follows the corpus."""
 STRENGTH = 200.0
 """Pseudo-count of the unigram distribution in each context (Dirichlet smoothing)."""
@@ -27,7 +27,7 @@ SPLIT = 16
 """Parts of a context's successors; they lie in different shards, so no word's successors fill one."""
 SUCCESSOR_BITS = 40
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-MAGIC = b"EFNGRAM1"
+MAGIC = b"EFNGRAM2"
 
 # Counts are quantised to 8 bits: 1 to 64 exactly, then geometrically up to 10^13.
 LEVELS = np.concatenate([np.arange(1, 65), 64 * np.exp(np.arange(1, 193) * np.log(1.145))])
@@ -244,7 +244,7 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.record_batch([pa.array([o[k] for o in out], pa.binary() if k else pa.int64()) for k in range(7)], names=["shard", "w", "n", "c", "r", "s", "b"])
 
     def make(table: pa.Table) -> pa.Table:
-        gather = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+        gather = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
         word, _, count = counted(w := gather("w", np.uint64), np.zeros(len(w), np.uint8), gather("n", np.uint32).astype(np.int64))
         wide = np.zeros((len(five := gather("s", np.uint8).reshape(-1, 5)), 8), np.uint8)
         wide[:, :5] = five
