@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.components import components
-from tablewright.llm.shared import chunks, materialise, shingles, small, whole_texts
+from tablewright.llm.shared import chunks, materialise, mix, shingles, small, whole_texts
 
 THRESHOLD = 75
-CHUNK = 4 << 20
-BUCKET_TEXT = 16 << 20
+CHUNK = 1 << 20
+BUCKET_TEXT = 8 << 20
 """Bytes of text whose shingles meet in one bucket of the counting stage, on average."""
+BUCKET_DOCS = 100_000
+"""Documents whose counts from all buckets are summed by one task, on average."""
 CELL_TOKENS = 200_000
 """Tokens of the sets held in one cell: a group or a part of it that one task compares."""
 CELL_QUERIES = 1_000
@@ -43,9 +45,10 @@ def shared_counts(rows: DataFrame, bucket_text: int = BUCKET_TEXT) -> DataFrame:
     Shingles go to buckets by hash; a chunk of documents sends each of its distinct shingles once, with
     its document or, if several have it, as common, so a shingle of all documents costs a bucket one
     entry per chunk. Entries are 32 bits beside the bucket's, so ``c`` may count too many, never too few.
+    A bucket sends its documents' counts packed, by a hash of the identifier, and they are summed there.
     """
-    total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = max(16, -(-total // bucket_text))
+    total, number = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count("*")).first()
+    buckets, places = max(16, -(-total // bucket_text)), max(1, -(-number // BUCKET_DOCS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "kind", "a", "b", "c"]
@@ -109,10 +112,25 @@ def shared_counts(rows: DataFrame, bucket_text: int = BUCKET_TEXT) -> DataFrame:
         ids.append(who)
         n.append(np.zeros(len(who), np.int64))
         c.append(count.astype(np.int64))
-        return pa.table({"_id": np.concatenate(ids), "n": np.concatenate(n), "c": np.concatenate(c)})
+        ids, n, c = np.concatenate(ids), np.concatenate(n), np.concatenate(c)
+        place = (mix(ids.view(np.uint64)) % np.uint64(places)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        cut = np.searchsorted(place[order], np.arange(places + 1))
+        parts = [order[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+        filled = [k for k, at in enumerate(parts) if len(at)]
+        pack = lambda values: pa.array([values[parts[k]].tobytes() for k in filled], pa.binary())
+        return pa.table({"place": pa.array(filled, pa.int64()), "ids": pack(ids), "n": pack(n), "c": pack(c)})
+
+    def total_of(table: pa.Table) -> pa.Table:
+        ids, n, c = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(k).to_pylist()]) for k in ("ids", "n", "c"))
+        known, at = np.unique(ids, return_inverse=True)
+        most = np.zeros(len(known), np.int64)
+        np.maximum.at(most, at, n)
+        return pa.table({"_id": known, "n": most, "c": np.bincount(at, weights=c, minlength=len(known)).astype(np.int64)})
 
     sent = rows.mapInArrow(emit, "bucket long, kind long, a binary, b binary, c binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "_id long, n long, c long").groupBy("_id").agg(F.max("n").alias("n"), F.sum("c").alias("c"))
+    met = sent.groupBy("bucket").applyInArrow(meet, "place long, ids binary, n binary, c binary")
+    return met.groupBy("place").applyInArrow(total_of, "_id long, n long, c long")
 
 
 def _places(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +154,11 @@ def shingle_sets(rows: DataFrame, tokens: bool) -> DataFrame:
     return rows.mapInArrow(work, "_id long, rid long" + ", toks array<long>" * tokens)
 
 
+def need_above(n: np.ndarray | int, threshold: int) -> np.ndarray | int:
+    """Tokens that a set of n tokens must share with a set of as many or more that it links to."""
+    return -(-2 * threshold * n // (100 + threshold))
+
+
 class Cell:
     """The sets of one cell with their token union."""
 
@@ -145,14 +168,16 @@ class Cell:
         self.sizes = np.diff(offsets)
         self.mark = np.zeros(len(self.union), bool)
 
-    def linked(self, query: np.ndarray, threshold: int, among: np.ndarray) -> np.ndarray:
-        """Which of the members ``among`` link to ``query``; the cell opens only if its union holds enough of it."""
+    def linked(self, query: np.ndarray, threshold: int, among: np.ndarray, above: bool = False) -> np.ndarray:
+        """Which of the members ``among`` (``above``: of those not smaller) link to ``query``; the cell opens only if its union holds enough of it."""
         if not len(self.union) or not len(among):
             return among[:0]
         spot = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
         spot = spot[self.union[spot] == query]
-        if len(spot) < need(len(query), threshold):
+        if len(spot) < (need_above if above else need)(len(query), threshold):
             return among[:0]
+        if above:
+            among = among[self.sizes[among] >= len(query)]
         sizes = self.sizes[among]
         among = among[(100 * sizes >= threshold * len(query)) & (100 * len(query) >= threshold * sizes)]
         if not len(among):
@@ -209,27 +234,34 @@ def group(sets: DataFrame, threshold: int, cell_tokens: int) -> DataFrame:
     return celled.select("_key", "_part", "rid", "_id", "n", "toks").groupBy("_key", "_part").applyInArrow(work, "rid long, _id long, n long, toks array<long>, block long")
 
 
-def link_round(sets: DataFrame, queries: DataFrame, threshold: int, cell_tokens: int, cell_queries: int) -> DataFrame:
+def link_round(sets: DataFrame, queries: DataFrame, threshold: int, cell_tokens: int, cell_queries: int, largest: bool = False) -> DataFrame:
     """Links (``a``, ``b``) between blocks, at least one for each pair of blocks that a query set and a member link.
 
-    The token-group matrix has a row (token, block) for each token of a block's union. A query must have
-    ``need`` of its tokens in a block that holds a set it links to, so among its n - need + 1 rarest
-    tokens, by the number of blocks, one lies there: only these are looked up. A block found that way
-    opens, cell by cell, if its union holds ``need`` tokens of the query.
+    With ``largest``, each token looked up leads to its largest block alone: not all links are found, but near copies in
+    great number, that begin as many blocks, become one with a few lookups each, before all pairs of blocks are asked for.
+
+    The token-group matrix has a row (token, block) for each token of a block's union. The smaller set of a link asks
+    for the other: ``need_above`` of its tokens must lie in a block that holds it, so among its n - need_above + 1
+    rarest tokens, by the number of blocks, one does, and only these are looked up. Blocks whose sets with the
+    token are all too small or too large for a link don't count. A block found that way
+    opens, cell by cell, if its union holds ``need_above`` tokens of the query.
     """
-    matrix = sets.select(F.explode("toks").alias("t"), "block").distinct()
+    matrix = sets.select(F.explode("toks").alias("t"), "block", "n").groupBy("t", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     wide = matrix.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
     asked = queries.select("rid", "block", "n", F.explode("toks").alias("t")).join(wide, "t")
     own = Window.partitionBy("rid")
-    least = F.ceil(F.col("n") * threshold / 100)
+    least = F.ceil(F.col("n") * threshold / 100) if largest else F.ceil(F.col("n") * (2 * threshold) / (100 + threshold))
     rare = (
         asked.withColumn("c", F.count("*").over(own))
         .withColumn("r", F.row_number().over(own.orderBy("k", "t")))
         .filter((F.col("c") >= least) & (F.col("r") <= F.col("c") - least + 1))
-        .select("t", "rid", F.col("block").alias("a"))
+        .select("t", "rid", F.col("block").alias("a"), F.ceil(F.col("n") * threshold / 100).alias("down") if largest else F.col("n").alias("down"), F.floor(F.col("n") * 100 / threshold).alias("up"))
     )
-    met = matrix.join(wide.select("t"), "t", "left_semi").select("t", F.col("block").alias("b"))
-    pairs = materialise(rare.join(met, "t").filter("a <> b").select("rid", "b").distinct(), "pairs")
+    met = matrix.join(wide.select("t"), "t", "left_semi").select("t", F.col("block").alias("b"), "lo", "hi")
+    if largest:
+        sizes = sets.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("_m"))
+        met = met.join(sizes, "b").groupBy("t").agg(F.max_by("b", F.struct("_m", "b")).alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    pairs = materialise(rare.join(met, "t").filter("a <> b AND hi >= down AND lo <= up").select("rid", "b").distinct(), "pairs")
 
     wanted = pairs.groupBy("b").agg(F.ceil(F.count("*") / cell_queries).alias("_ways"))
     fans = sets.join(wanted, sets["block"] == wanted["b"], "left_semi").groupBy("block").agg(F.ceil(F.sum("n") / cell_tokens).alias("_fan"))
@@ -247,7 +279,7 @@ def link_round(sets: DataFrame, queries: DataFrame, threshold: int, cell_tokens:
             tokens, offsets = _lists(left.column("asked"))
             everyone = np.arange(right.num_rows)
             for k, a in enumerate(left.column("a").to_pylist()):
-                if a not in found and len(cell.linked(tokens[offsets[k] : offsets[k + 1]], threshold, everyone)):
+                if a not in found and len(cell.linked(tokens[offsets[k] : offsets[k + 1]], threshold, everyone, not largest)):
                     found.add(a)
         return pa.table({"a": pa.array(list(found), pa.int64()), "b": pa.array([b] * len(found), pa.int64())})
 
@@ -265,8 +297,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. Documents of which too few shingles occur elsewhere can't link and leave (``shared_counts``).
     2. Equal sets become one; similar sets meet in cells and form groups (``group``).
-    3. One set of each group asks the matrix; linked groups become one. Then all other sets ask the
-       matrix of the larger groups (``link_round``), where most have no other group left to ask for.
+    3. One set of each group asks the matrix (``link_round``), at first for the largest group of each token alone; linked
+       groups become one. Then all other sets ask the matrix of the larger groups, where most have no other left to ask for.
 
     Documents without words link to nothing; so do rows without identifier, which give rows with null
     ``component_id``. Rows that repeat an identifier are one document, with the larger of their sizes and
@@ -280,12 +312,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = shingle_sets(living, True).groupBy("rid").agg(F.min("_id").alias("_id"), F.first("toks").alias("toks")).withColumn("n", F.size("toks").cast("long"))
     sets = materialise(group(distinct, threshold, cell_tokens), "sets")
 
-    first = materialise(link_round(sets, sets.filter("rid = block"), threshold, cell_tokens, cell_queries), "links")
-    labels = components(first.filter("a <> b"))
     merge = lambda df, labels: df.join(labels.withColumnRenamed("node", "block"), "block", "left").withColumn("block", F.coalesce("label", "block")).drop("label")
-    merged = materialise(merge(sets.withColumn("_asks", F.col("rid") != F.col("block")), labels), "merged")
-    second = link_round(merged, merged.filter("_asks"), threshold, cell_tokens, cell_queries)
-    final = merge(merged.select("rid", "_id", "block"), components(second))
+    sets = sets.withColumn("_pivot", F.col("rid") == F.col("block"))
+    for pivots, largest in ((True, True), (True, False), (False, False)):
+        found = link_round(sets, sets.filter(F.col("_pivot") == pivots), threshold, cell_tokens, cell_queries, largest)
+        sets = materialise(merge(sets, components(found)), "sets")
+    final = sets.select("rid", "_id", "block")
 
     least = final.groupBy("block").agg(F.min("_id").alias("component_id"))
     of_set = final.join(least, "block").select("rid", "component_id")
