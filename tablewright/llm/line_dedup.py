@@ -35,37 +35,42 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.dropDuplicates(["d", "t", "p"])
 
 
-def suffix_levels(lines: DataFrame, depth: int) -> list[tuple[int, DataFrame]]:
-    """(h, suffixes) for h = 1, 2, 4 .. ``depth``: the suffixes whose first h lines occur more than once.
+def suffix_levels(lines: DataFrame, depth: int, every: bool = False) -> list[tuple[int, DataFrame]]:
+    """(h, suffixes) for h = 1, 2, 4 .. ``depth``, or with ``every`` 1, 2, 3 ..: the suffixes whose first h lines occur more than once.
 
     A suffix has its ``rank`` in the order of suffixes by their first h lines; equal ranks are an interval of
     common prefix h at least, of which ``first`` is the earliest suffix in (document, position) order. ``w``
     counts the words of the h lines. Doubling joins a suffix with the one h lines later; a suffix whose
-    h lines are unique can't be part of a longer repeat and is discarded.
+    h lines are unique can't be part of a longer repeat and is discarded. With ``every``, a suffix is joined with
+    the next one, so that their h lines overlap in all but the first and the last, and ``end`` has the words of the last.
     """
     place = F.struct("d", "t", "p")
     keys = lines.groupBy("lid").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1").withColumn("g", F.lit(0))
     keys = ranked(keys, ["g"], "lid", F.substring("lid", 1, 3), F.lit(0).cast("long")).select("lid", "rank", "first")
-    level = materialise(lines.join(keys, "lid").select("d", "t", "p", "w", "rank", "first"), "suffixes")
+    end = [F.col("w").alias("end")] if every else []
+    level = materialise(lines.join(keys, "lid").select("d", "t", "p", "w", *end, "rank", "first"), "suffixes")
     found, h = [(1, level)], 1
     while h < depth:
-        ahead = level.select("d", "t", (F.col("p") - h).alias("p"), F.col("w").alias("w2"), F.col("rank").alias("r2"))
-        pairs = level.join(ahead, ["d", "t", "p"]).select("d", "t", "p", (F.col("w") + F.col("w2")).alias("w"), F.col("rank").alias("r1"), "r2")
+        by, end = (1, [F.col("w2").alias("end")]) if every else (h, [])
+        ahead = level.select("d", "t", (F.col("p") - by).alias("p"), F.col("end" if every else "w").alias("w2"), F.col("rank").alias("r2"))
+        pairs = level.drop("end").join(ahead, ["d", "t", "p"]).select("d", "t", "p", (F.col("w") + F.col("w2")).alias("w"), *end, F.col("rank").alias("r1"), "r2")
         keys = pairs.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1")
         keys = ranked(keys, ["r1"], "r2", F.floor(F.col("r2") / RANK_BUCKET), F.col("r1")).select("r1", "r2", "rank", "first")
-        h *= 2
-        level = materialise(pairs.join(keys, ["r1", "r2"]).select("d", "t", "p", "w", "rank", "first"), "suffixes")
+        h += by
+        level = materialise(pairs.join(keys, ["r1", "r2"]).select("d", "t", "p", "w", *(["end"] if every else []), "rank", "first"), "suffixes")
         found.append((h, level))
     return found
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS, every_length: bool = False) -> DataFrame:
     """Delete the later copies of repeated runs of lines.
 
     Lines are parted by line feeds. A run of lines is a copy if it occurs earlier, in the order of
     identifier and position, in the same or another document. Copies of ``least_lines`` lines (a power of
     two), and copies of 1, 2, 4 .. lines with at least ``least_words`` words, are deleted; longer copies
     are unions of such ones, so sorting suffixes by their first ``least_lines`` lines settles the result.
+    With ``every_length``, copies of 1, 2, 3 .. lines with at least ``least_words`` words are, so a run of 3
+    lines goes even if no 2 of its lines have the words, and ``least_lines`` may be any number.
 
     Returns one row per row: ``doc_id``, ``n_lines``, ``n_removed``, ``n_runs`` (maximal deleted runs),
     ``longest_run``, ``text`` (the lines left, joined by line feeds). A null text is one empty line. Null
@@ -73,11 +78,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the answer; of rows that share only the identifier, the smaller text hash is first. No column but
     the two is read; an empty table gives an empty result.
     """
-    if least_lines & (least_lines - 1):
+    if least_lines & (least_lines - 1) and not every_length:
         raise ValueError("least_lines must be a power of two")
     lines = materialise(line_table(docs, id_col, text_col), "lines")
     gone = None
-    for h, level in suffix_levels(lines, least_lines):
+    for h, level in suffix_levels(lines, least_lines, every_length):
         later = level.filter(F.col("first") < F.struct("d", "t", "p"))
         if h < least_lines:
             later = later.filter(F.col("w") >= least_words)
@@ -108,6 +113,12 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_line_dedup_every_length(spark, sf_dir: str) -> DataFrame:
+    """As ``op6_line_dedup``, but copied runs of 3 lines are looked for too."""
+    found = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), every_length=True)
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("text", 256).alias("text_sha256"))
+
+
 SQL = r"""
 WITH docs AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -133,3 +144,5 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_r
        sha256(coalesce(text, '')) AS text_sha256
 FROM docs LEFT JOIN runs USING (doc_id) LEFT JOIN rest USING (doc_id)
 """
+
+EVERY_LENGTH_SQL = SQL.replace("(VALUES (1), (2), (4))", "(VALUES (1), (2), (3), (4))")

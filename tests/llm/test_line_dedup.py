@@ -70,3 +70,28 @@ def test_edge_rows(spark):
     assert line_dedup(docs.limit(0)).collect() == []
     with pytest.raises(ValueError):
         line_dedup(docs, least_lines=3)
+
+
+def test_every_length_finds_runs_of_three_lines(spark):
+    three = "\n".join(" ".join(f"{c}{k}" for k in range(9)) for c in "abc")  # 27 words, 18 in any 2 lines
+    docs = [(1, "x\n" + three), (2, three + "\ny"), (3, "z")]
+    got = {r.doc_id: (r.n_removed, r.longest_run, r.text) for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), every_length=True).collect()}
+    assert got == {1: (0, 0, docs[0][1]), 2: (3, 3, "y"), 3: (0, 0, "z")}
+
+
+@pytest.mark.parametrize("least_lines,least_words", [(4, 20), (3, 12), (5, 12)])
+def test_every_length_matches_brute_force(spark, least_lines, least_words):
+    docs = corpus(least_lines + 20)
+    order, gone = sorted((d, t or "") for d, t in docs), set()
+    for h in range(1, least_lines + 1):
+        seen = set()
+        for d, t in order:
+            ls = t.split("\n")
+            for p in range(len(ls) - h + 1):
+                run = tuple(ls[p : p + h])
+                if run in seen and (h == least_lines or len(" ".join(run).split()) >= least_words):
+                    gone |= {(d, q) for q in range(p, p + h)}
+                seen.add(run)
+    want = sorted((d, "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone)) for d, t in order)
+    got = line_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), least_lines=least_lines, least_words=least_words, every_length=True)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == want
