@@ -286,7 +286,45 @@ def link_round(sets: DataFrame, queries: DataFrame, threshold: int, cell_tokens:
     return asking.groupBy("_b", "_c", "_w").cogroup(members.groupBy("b", "_cell", "_way")).applyInArrow(work, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, bucket_text: int = BUCKET_TEXT, cell_tokens: int = CELL_TOKENS, cell_queries: int = CELL_QUERIES) -> DataFrame:
+def link_weights(sets: DataFrame, threshold: int, cell_tokens: int, cell_rows: int) -> DataFrame:
+    """``rid`` and ``k``: the documents (``weight`` of each set) of the other sets that link to the set, for sets that any does.
+
+    Linked sets have one final ``block``, so all pairs of sets of a block are all that need be compared. Blocks of more than
+    ``cell_tokens`` or ``cell_rows`` are dealt to parts by hash, and each pair of parts meets in a cell; other blocks share cells.
+    """
+    blocks = sets.groupBy("block").agg(F.count("*").alias("_m"), F.sum("n").alias("_t")).filter("_m > 1")
+    plan = small(blocks.select("block", F.greatest(F.ceil(F.col("_t") / cell_tokens), F.ceil(F.col("_m") / cell_rows)).alias("_fan"), "_t"), "parts")
+    homes = int(plan.agg(F.ceil(F.sum("_t") / cell_tokens)).first()[0] or 1)
+    dealt = sets.join(plan, "block").withColumn("_part", F.pmod(F.hash("rid"), "_fan")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_fan") - 1)))
+    low, high = F.least("_part", "_other"), F.greatest("_part", "_other")
+    celled = dealt.select(F.when(F.col("_fan") > 1, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(homes))).alias("_home"), (F.col("_fan") > 1).alias("_large"), low.alias("_low"), high.alias("_high"), "block", (F.col("_part") == low).alias("_first"), "rid", "weight", "toks")
+
+    def work(table: pa.Table) -> pa.Table:
+        apart = table.column("_low")[0].as_py() != table.column("_high")[0].as_py()
+        order = np.argsort(table.column("block").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        block, rid, weight, first = (table.column(c).to_numpy(zero_copy_only=False) for c in ("block", "rid", "weight", "_first"))
+        tokens, offsets = _lists(table.column("toks"))
+        total = np.zeros(len(rid), np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        for start, end in zip(edges, edges[1:], strict=False):
+            held = np.arange(start, end)
+            asking, held = (held[first[held]], held[~first[held]]) if apart else (held, held)
+            if not len(asking) or not len(held):
+                continue
+            toks = [tokens[offsets[k] : offsets[k + 1]] for k in held]
+            cell = Cell(np.concatenate(toks), np.concatenate([[0], np.cumsum([len(x) for x in toks])]))
+            for k, a in enumerate(asking):
+                found = held[cell.linked(tokens[offsets[a] : offsets[a + 1]], threshold, np.arange(0 if apart else k + 1, len(held)))]
+                total[a] += weight[found].sum()
+                total[found] += weight[a]
+        some = total > 0
+        return pa.table({"rid": rid[some], "k": total[some]})
+
+    return celled.groupBy("_home", "_large", "_low", "_high").applyInArrow(work, "rid long, k long").groupBy("rid").agg(F.sum("k").alias("k"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, bucket_text: int = BUCKET_TEXT, cell_tokens: int = CELL_TOKENS, cell_queries: int = CELL_QUERIES, links: bool = False) -> DataFrame:
     """Components of the graph whose links are pairs of shingle sets with a Jaccard similarity of ``threshold`` per cent.
 
     Words are runs other than white space, A-Z in lower case; a document's set holds its distinct 5-word
@@ -300,6 +338,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. One set of each group asks the matrix (``link_round``), at first for the largest group of each token alone; linked
        groups become one. Then all other sets ask the matrix of the larger groups, where most have no other left to ask for.
 
+    With ``links``, a column ``n_links`` follows: the other documents that link to the document, copies of its set and of
+    others each counted. For that every pair of distinct sets of a component is compared (``link_weights``). If rows
+    that repeat an identifier have different sets, the links of each set count, also those between them.
+
     Documents without words link to nothing; so do rows without identifier, which give rows with null
     ``component_id``. Rows that repeat an identifier are one document, with the larger of their sizes and
     the links of all. Texts are read whole; an empty table gives an empty result; other columns stay out.
@@ -321,17 +363,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     least = final.groupBy("block").agg(F.min("_id").alias("component_id"))
     of_set = final.join(least, "block").select("rid", "component_id")
-    found = shingle_sets(living, False).join(of_set, "rid").groupBy("_id").agg(F.min("component_id").alias("component_id"))
-    known = counts.join(found, "_id", "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+    members, number, schema = shingle_sets(living, False), [], ""
+    if links:
+        members, number, schema = materialise(members.distinct(), "members"), [F.sum("_links").alias("n_links")], ", n_links long"
+        copies = small(members.groupBy("rid").agg(F.count("*").alias("weight")).filter("weight > 1"), "copies")
+        weighed = lambda df: df.join(copies, "rid", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        others = link_weights(weighed(sets.select("rid", "block", "n", "toks")), threshold, cell_tokens, cell_queries)
+        of_set = weighed(of_set).join(others, "rid", "left").select("rid", "component_id", (F.col("weight") - 1 + F.coalesce("k", F.lit(0))).alias("_links"))
+    found = members.join(of_set, "rid").groupBy("_id").agg(F.min("component_id").alias("component_id"), *number)
+    number = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    known = counts.join(found, "_id", "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), *number)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in chunks(batches):
             row, _ = _sets(data, offsets)
-            yield pa.record_batch([ids, pa.array(np.bincount(row, minlength=len(ids)).astype(np.int64)), ids], names=["doc_id", "n_shingles", "component_id"])
+            none = pa.array(np.zeros(len(ids), np.int64))
+            columns = [ids, pa.array(np.bincount(row, minlength=len(ids)).astype(np.int64)), ids, none]
+            yield pa.record_batch(columns[: 3 + links], names=["doc_id", "n_shingles", "component_id", "n_links"][: 3 + links])
 
-    return known.unionByName(every.filter("_id IS NULL").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long"))
+    return known.unionByName(every.filter("_id IS NULL").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long" + schema))
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """The contract's query over all documents."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The contract's query over all documents, with the number of links of each."""
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True)

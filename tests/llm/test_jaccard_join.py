@@ -98,3 +98,26 @@ def test_cell_opens_only_with_enough_overlap():
     assert cell.linked(np.array([1, 2, 3, 4]), 75, np.arange(2)).tolist() == [0]
     assert cell.linked(np.array([1, 2, 10, 20]), 75, np.arange(2)).tolist() == []
     assert cell.own_components(75).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("cell_tokens,cell_queries", [(200_000, 1000), (600, 3)])
+def test_links_match_brute_force(spark, cell_tokens, cell_queries):
+    docs = corpus(6, 250)
+    rng, base = random.Random(7), [f"w{k}" for k in range(40)]
+    for d in range(2000, 2060):  # near copies, some of them equal, with several links each
+        own = list(base)
+        own[rng.randrange(40)] = f"edit{d % 45}"
+        docs.append((d, " ".join(own)))
+    docs.append((3000, ""))
+    sets = {d: brute_set(t) for d, t in docs}
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = sorted((*row, sum(e != row[0] and linked(sets[row[0]], y) for e, y in sets.items())) for row in brute(docs))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = jaccard_components(frame, bucket_text=1 << 16, cell_tokens=cell_tokens, cell_queries=cell_queries, links=True)
+    assert sorted(map(tuple, got.collect())) == want and max(r[3] for r in want) > 20
+
+
+def test_links_of_repeated_null_and_no_rows(spark):
+    odd = spark.createDataFrame([(None, "a b c d e f g"), (7, "a b c d e f g"), (7, "a b c d e f g"), (8, "a b c d e f g"), (9, "z")], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, jaccard_components(odd, links=True).collect()))) == ["(7, 3, 7, 1)", "(8, 3, 7, 1)", "(9, 1, 9, 0)", "(None, 3, None, 0)"]
+    assert jaccard_components(odd.limit(0), links=True).collect() == []
