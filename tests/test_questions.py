@@ -166,3 +166,11 @@ def test_vectors(spark):
     for most in (1, 100):
         hits = ids(retrieve.vector_top(own, asking, 3, most=most))
         assert all(hits[k][0] == k for k in range(3)) and hits[0] == [0, 15, 3] or hits[0][:2] == [0, 15]
+
+
+def test_more_than_ten_thousand_short_terms_all_match(spark):
+    own = [chr(0x4E00 + k // 110) + chr(0x5E00 + k % 110) for k in range(12_000)]
+    terms = spark.createDataFrame([(t, t) for t in [*own, "z"]], "value string, norm string")
+    queries = spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(own)] + [(-1, "z"), (-2, ""), (-3, "a"), (-4, None)], "query_id long, q string")
+    got = {r.query_id: r.hit for r in questions.contained(queries, terms, "q", "norm", "hit").collect()}
+    assert got == dict(enumerate(own)) | {-1: "z", -2: None, -3: None, -4: None}
