@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata."""
+"""Quality classifier: a factorisation machine over hashed words and structure statistics."""
 
 from __future__ import annotations
 
