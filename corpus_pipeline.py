@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,21 @@ LEAST_SCORE = 0.5
 """Probability of the predicted language below which a document is rejected."""
 
 
-def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is in ``gone``; rows without doc_id stay."""
-    return docs.join(small(gone.select("doc_id").distinct(), name), "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, gone: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in what ``gone`` returns for them.
+
+    Where doc_id is null or repeated, rows are numbered in its order and judged by their number, each on its own.
+    """
+    key, own = "doc_id", docs
+    if not docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        own = docs.orderBy(F.asc_nulls_last("doc_id"), digest()).withColumn("_number", F.monotonically_increasing_id())
+        key, own = "_number", materialise(own, "numbered")
+    found = gone(own.withColumn("doc_id", F.col(key))).select(F.col("doc_id").alias(key)).distinct()
+    return own.join(small(found, name), key, "left_anti").select(*docs.columns)
+
+
+def digest():
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,22 +40,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts, that of the largest doc_id; of rows equal in both, one."""
-    found = materialise(exact_dedup.exact_dedup(docs).select("doc_id", "kept"), "kept")
-    rest = without(docs, found.filter("NOT kept"), "copies")
-    twice = small(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    found = materialise(exact_dedup.exact_dedup(docs).select(F.col("doc_id").alias("_id"), "kept", F.col("text_sha256").alias("_digest")), "kept")
+    gone = small(found.filter("NOT kept").select("_id", "_digest").distinct(), "copies", most=100_000)
+    own = docs.withColumn("_sha", digest())
+    rest = own.join(gone, (F.col("_sha") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    twice = small(found.filter("kept").groupBy("_id").count().filter("count > 1").select("_id"), "twice")
     if twice.isEmpty():
-        return rest
-    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+        return rest.select(*docs.columns)
+    again = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rest.join(twice, again, "left_anti").unionByName(rest.join(twice, again, "left_semi").dropDuplicates(["doc_id", "_sha"])).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar ones, that of the smallest doc_id."""
-    return without(docs, jaccard_join.jaccard_components(docs).filter("doc_id <> component_id"), "similar")
+    return without(docs, lambda own: jaccard_join.jaccard_components(own).filter("doc_id <> component_id"), "similar")
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return without(docs, decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
+    return without(docs, lambda own: decontaminate.contamination(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

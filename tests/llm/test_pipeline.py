@@ -62,3 +62,17 @@ def test_stages_keep_columns_and_survive_empty_tables(spark, tmp_path):
         out = stage(spark, none, str(tmp_path))
         assert out.columns == none.columns and out.collect() == []
     assert corpus_pipeline.tokens(spark, none, str(tmp_path)).collect() == []
+
+
+def test_null_and_clashing_ids_get_their_own_decision(spark, tmp_path):
+    text = lambda c, n=12: " ".join(f"{c}{k}" for k in range(n))
+    spark.createDataFrame([(1, text("item"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    left = lambda stage, *rows: sorted(((r.doc_id or -1, r.text) for r in stage(spark, frame(*rows), str(tmp_path)).collect()))
+    # a copy goes by its own text: of the clashing id 7 only the row equal to 9, of rows without id those equal to others
+    got = left(corpus_pipeline.exact, (7, text("a")), (7, text("b")), (9, text("a")), (None, text("a")), (None, text("c")), (None, text("c")))
+    assert got == [(-1, text("c")), (7, text("b")), (9, text("a"))]
+    got = left(corpus_pipeline.near, (7, text("a", 41)), (7, text("b")), (3, text("a", 40)), (None, text("a", 42)), (None, text("c")))
+    assert got == [(-1, text("c")), (3, text("a", 40)), (7, text("b"))]
+    got = left(corpus_pipeline.clean_of_benchmarks, (7, text("item")), (7, text("b")), (None, "x " + text("item")), (None, text("c")))
+    assert got == [(-1, text("c")), (7, text("b"))]
