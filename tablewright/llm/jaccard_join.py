@@ -234,42 +234,56 @@ def group(sets: DataFrame, threshold: int, cell_tokens: int) -> DataFrame:
     return celled.select("_key", "_part", "rid", "_id", "n", "toks").groupBy("_key", "_part").applyInArrow(work, "rid long, _id long, n long, toks array<long>, block long")
 
 
-def link_round(sets: DataFrame, queries: DataFrame, threshold: int, cell_tokens: int, cell_queries: int, largest: bool = False) -> DataFrame:
+def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """The rarest shared tokens of each set: ``rid``, ``n``, ``t``, ``c`` (its tokens that lie in several blocks) and ``r`` (place of ``t`` among these).
+
+    Tokens are ordered by the blocks they lie in, once and for all rounds; one that lies in a single block can't be common to sets of
+    two. Of two linked sets, the rarest common token is among the c - need + 1 first of each, with ``need`` the least overlap
+    that the set's size allows. So tokens past that place, like those of a passage of many documents, are never looked up; sets
+    with less than ``need`` such tokens link to no other block and have no rows.
+    """
+    tokens = sets.select("rid", "block", "n", F.explode("toks").alias("t"))
+    wide = tokens.groupBy("t", "block").agg(F.lit(1).alias("_one")).groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
+    own = Window.partitionBy("rid")
+    placed = tokens.join(wide, "t").withColumn("c", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("k", "t")))
+    return placed.filter(F.col("r") <= F.col("c") - F.ceil(F.col("n") * threshold / 100) + 1).select("rid", "n", "t", "r", "c")
+
+
+def link_round(sets: DataFrame, labels: DataFrame, prefix: DataFrame, pivots: bool, threshold: int, cell_tokens: int, cell_queries: int, largest: bool = False) -> DataFrame:
     """Links (``a``, ``b``) between blocks, at least one for each pair of blocks that a query set and a member link.
 
-    With ``largest``, each token looked up leads to its largest block alone: not all links are found, but near copies in
+    ``sets`` have the tokens, ``labels`` the present blocks; the queries are the sets whose ``pivot`` is ``pivots``. With
+    ``largest``, each token looked up leads to its largest block alone: not all links are found, but near copies in
     great number, that begin as many blocks, become one with a few lookups each, before all pairs of blocks are asked for.
 
-    The token-group matrix has a row (token, block) for each token of a block's union. The smaller set of a link asks
-    for the other: ``need_above`` of its tokens must lie in a block that holds it, so among its n - need_above + 1
-    rarest tokens, by the number of blocks, one does, and only these are looked up. Blocks whose sets with the
-    token are all too small or too large for a link don't count. A block found that way
-    opens, cell by cell, if its union holds ``need_above`` tokens of the query.
+    The token-group matrix has a row (token, block) for each token of the union of a block's prefixes. The smaller set of a link asks
+    for the other, by the tokens of its own, shorter prefix (``need_above``). A row counts for a query if its block has sets
+    of a size that can link, and if the query and a member have enough tokens from there on. A block found that way
+    opens, cell by cell, if the union of the cell holds ``need_above`` tokens of the query.
     """
-    matrix = sets.select(F.explode("toks").alias("t"), "block", "n").groupBy("t", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    wide = matrix.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
-    asked = queries.select("rid", "block", "n", F.explode("toks").alias("t")).join(wide, "t")
-    own = Window.partitionBy("rid")
-    least = F.ceil(F.col("n") * threshold / 100) if largest else F.ceil(F.col("n") * (2 * threshold) / (100 + threshold))
-    rare = (
-        asked.withColumn("c", F.count("*").over(own))
-        .withColumn("r", F.row_number().over(own.orderBy("k", "t")))
-        .filter((F.col("c") >= least) & (F.col("r") <= F.col("c") - least + 1))
-        .select("t", "rid", F.col("block").alias("a"), F.ceil(F.col("n") * threshold / 100).alias("down") if largest else F.col("n").alias("down"), F.floor(F.col("n") * 100 / threshold).alias("up"))
-    )
-    met = matrix.join(wide.select("t"), "t", "left_semi").select("t", F.col("block").alias("b"), "lo", "hi")
+    here = prefix.join(labels.select("rid", "block", "pivot"), "rid")
+    overlap = lambda other: F.ceil((F.col("n") + other) * threshold / (100 + threshold))
+    asked = here.filter(F.col("pivot") == pivots)
+    if not largest:
+        asked = asked.filter(F.col("r") <= F.col("c") - overlap(F.col("n")) + 1)
+    down = F.ceil(F.col("n") * threshold / 100) if largest else F.col("n")
+    asked = asked.select("t", "rid", "n", F.col("block").alias("a"), down.alias("down"), F.floor(F.col("n") * 100 / threshold).alias("up"), (F.col("c") - F.col("r") + 1).alias("rest"))
+    met = here.groupBy("t", F.col("block").alias("b")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("c") - F.col("r") + 1).alias("held"))
     if largest:
-        sizes = sets.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("_m"))
-        met = met.join(sizes, "b").groupBy("t").agg(F.max_by("b", F.struct("_m", "b")).alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = materialise(rare.join(met, "t").filter("a <> b AND hi >= down AND lo <= up").select("rid", "b").distinct(), "pairs")
+        sizes = labels.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("_m"))
+        met = met.join(sizes, "b").groupBy("t").agg(F.max_by("b", F.struct("_m", "b")).alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("held").alias("held"))
+    enough = F.least("rest", "held") >= overlap(F.greatest("lo", "down"))
+    pairs = materialise(asked.join(met, "t").filter("a <> b AND hi >= down AND lo <= up").filter(enough).select("rid", "b").distinct(), "pairs")
 
     wanted = pairs.groupBy("b").agg(F.ceil(F.count("*") / cell_queries).alias("_ways"))
-    fans = sets.join(wanted, sets["block"] == wanted["b"], "left_semi").groupBy("block").agg(F.ceil(F.sum("n") / cell_tokens).alias("_fan"))
+    fans = labels.groupBy("block").agg(F.ceil(F.sum("n") / cell_tokens).alias("_fan"))
     plan = small(wanted.join(fans, wanted["b"] == fans["block"]).select("b", "_ways", "_fan"), "cells")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    members = sets.join(plan, sets["block"] == plan["b"]).select("b", F.pmod(F.hash("rid"), "_fan").alias("_cell"), spread("_ways").alias("_way"), F.col("toks").alias("held"))
+    members = labels.select("rid", F.col("block").alias("b")).join(plan, "b").select("rid", "b", F.pmod(F.hash("rid"), "_fan").alias("_cell"), spread("_ways").alias("_way"))
+    members = members.join(sets.select("rid", F.col("toks").alias("held")), "rid").drop("rid")
     asking = pairs.join(plan, "b").select("rid", "b", F.pmod(F.hash("rid"), "_ways").alias("_way"), spread("_fan").alias("_cell"))
-    asking = asking.join(queries.select("rid", F.col("block").alias("a"), F.col("toks").alias("asked")), "rid").select("a", F.col("b").alias("_b"), F.col("_cell").alias("_c"), F.col("_way").alias("_w"), "asked")
+    asking = asking.join(labels.select("rid", F.col("block").alias("a")), "rid").join(sets.select("rid", F.col("toks").alias("asked")), "rid")
+    asking = asking.select("a", F.col("b").alias("_b"), F.col("_cell").alias("_c"), F.col("_way").alias("_w"), "asked")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         found: set[int] = set()
@@ -335,7 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. Documents of which too few shingles occur elsewhere can't link and leave (``shared_counts``).
     2. Equal sets become one; similar sets meet in cells and form groups (``group``).
-    3. One set of each group asks the matrix (``link_round``), at first for the largest group of each token alone; linked
+    3. One set of each group asks the matrix (``prefixes``, ``link_round``), at first for the largest group of each token alone; linked
        groups become one. Then all other sets ask the matrix of the larger groups, where most have no other left to ask for.
 
     With ``links``, a column ``n_links`` follows: the other documents that link to the document, copies of its set and of
@@ -354,12 +368,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = shingle_sets(living, True).groupBy("rid").agg(F.min("_id").alias("_id"), F.first("toks").alias("toks")).withColumn("n", F.size("toks").cast("long"))
     sets = materialise(group(distinct, threshold, cell_tokens), "sets")
 
-    merge = lambda df, labels: df.join(labels.withColumnRenamed("node", "block"), "block", "left").withColumn("block", F.coalesce("label", "block")).drop("label")
-    sets = sets.withColumn("_pivot", F.col("rid") == F.col("block"))
+    labels = materialise(sets.select("rid", "_id", "n", "block", (F.col("rid") == F.col("block")).alias("pivot")), "labels")
+    prefix = materialise(prefixes(sets, threshold), "prefixes")
+    sets = sets.select("rid", "toks")
     for pivots, largest in ((True, True), (True, False), (False, False)):
-        found = link_round(sets, sets.filter(F.col("_pivot") == pivots), threshold, cell_tokens, cell_queries, largest)
-        sets = materialise(merge(sets, components(found)), "sets")
-    final = sets.select("rid", "_id", "block")
+        merged = components(link_round(sets, labels, prefix, pivots, threshold, cell_tokens, cell_queries, largest))
+        labels = labels.join(merged.withColumnRenamed("node", "block"), "block", "left").withColumn("block", F.coalesce("label", "block")).drop("label")
+        labels = materialise(labels, "labels")
+    final = labels.select("rid", "_id", "block")
 
     least = final.groupBy("block").agg(F.min("_id").alias("component_id"))
     of_set = final.join(least, "block").select("rid", "component_id")
@@ -368,7 +384,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         members, number, schema = materialise(members.distinct(), "members"), [F.sum("_links").alias("n_links")], ", n_links long"
         copies = small(members.groupBy("rid").agg(F.count("*").alias("weight")).filter("weight > 1"), "copies")
         weighed = lambda df: df.join(copies, "rid", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-        others = link_weights(weighed(sets.select("rid", "block", "n", "toks")), threshold, cell_tokens, cell_queries)
+        others = link_weights(weighed(labels.select("rid", "block", "n").join(sets, "rid")), threshold, cell_tokens, cell_queries)
         of_set = weighed(of_set).join(others, "rid", "left").select("rid", "component_id", (F.col("weight") - 1 + F.coalesce("k", F.lit(0))).alias("_links"))
     found = members.join(of_set, "rid").groupBy("_id").agg(F.min("component_id").alias("component_id"), *number)
     number = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
