@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import carried, chunks, opened, whole_texts
+from tablewright.llm.shared import carried, chunks, opened, released, whole_texts
 
 SHIFT = 0x100
 """Byte b is written as code point 256 + b in the pieces, so every byte string is a text and back."""
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 """Pre-tokens whose ids a Python worker remembers; a full memory is emptied."""
 _TO_PIECE = {b: chr(SHIFT + b) for b in range(256)}
 
@@ -124,14 +125,14 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, digest: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns one row per row: ``doc_id``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit) and
-    ``decoded`` (binary, the ids' bytes: the text's UTF-8). Null and empty texts have no ids. Repeated rows
+    ``decoded`` (binary, the ids' bytes: the text's UTF-8; with ``digest`` its SHA-256). Null and empty texts have no ids. Repeated rows
     and very long texts are encoded like any other; other columns are not read or, with ``carry``, passed through, the new
     ones taking the place of namesakes. There is no shuffle.
     ``path`` must be readable on the executors.
@@ -139,20 +140,26 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for ids, data, offsets in chunks(batches, PIECE_BYTES):
+        for ids, data, offsets in chunks(batches, PIECE_BYTES, text_col):
             raw = data.tobytes()
             marks = offsets.tolist()
             packed = own.encode([raw[a:b].decode() for a, b in zip(marks, marks[1:], strict=False)])
-            yield pa.record_batch([ids, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array([own.decode(p) for p in packed], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            decoded = (own.decode(p) for p in packed)
+            back = [hashlib.sha256(x).digest() for x in decoded] if digest else list(decoded)
+            yield pa.record_batch([ids, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     rows = carried(docs, text_col) if carry else whole_texts(docs, id_col, text_col)
     kinds = {"doc_id": rows.schema["_id"].dataType, "n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.BinaryType()}
-    found = rows.mapInArrow(work, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
+    found = rows.mapInArrow(released(work), T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
     return opened(found, "doc_id", ["n_tokens", "ids", "decoded"]) if carry else found
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """The text of each row's packed ids (``doc_id``, ``text``); null ids give an empty text."""
+    """The text of each row's packed ids (``doc_id``, ``text``), one row per row.
+
+    Null and empty ids give an empty text, also where doc_id is null; repeated rows are decoded alike and none is
+    ordered before another; ids may be as long as a row can be; an empty table gives an empty result; other columns stay out.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)

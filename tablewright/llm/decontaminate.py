@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import chunks, shingles, whole_texts
+from tablewright.llm.shared import chunks, released, shingles, whole_texts
 
 THRESHOLD = 75
 """Per cent of an item's shingles that a document must hold."""
@@ -137,7 +137,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     n, both = np.array(n, np.int64), np.array(both, np.int64)
                     yield pa.record_batch([ids.take(pa.array(at)), pa.array(item, pa.int64()), pa.array(n), pa.array(both), pa.array(both / n)], names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
-        one = whole_texts(docs, id_col, text_col).mapInArrow(work, schema)
+        one = whole_texts(docs, id_col, text_col).mapInArrow(released(work), schema)
         found = one if found is None else found.unionByName(one)
     known.unpersist()
     return found

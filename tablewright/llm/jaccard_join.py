@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.components import components
-from tablewright.llm.shared import chunks, materialise, mix, shingles, small, whole_texts
+from tablewright.llm.shared import chunks, materialise, mix, release, released, shingles, small, whole_texts
 
 THRESHOLD = 75
 CHUNK = 1 << 20
@@ -119,7 +119,10 @@ def shared_counts(rows: DataFrame, bucket_text: int = BUCKET_TEXT) -> DataFrame:
         parts = [order[x:y] for x, y in zip(cut, cut[1:], strict=False)]
         filled = [k for k, at in enumerate(parts) if len(at)]
         pack = lambda values: pa.array([values[parts[k]].tobytes() for k in filled], pa.binary())
-        return pa.table({"place": pa.array(filled, pa.int64()), "ids": pack(ids), "n": pack(n), "c": pack(c)})
+        packed = pa.table({"place": pa.array(filled, pa.int64()), "ids": pack(ids), "n": pack(n), "c": pack(c)})
+        del table, low, owner, common, lows, owners, commons, order, same, twice
+        release()
+        return packed
 
     def total_of(table: pa.Table) -> pa.Table:
         ids, n, c = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(k).to_pylist()]) for k in ("ids", "n", "c"))
@@ -128,7 +131,7 @@ def shared_counts(rows: DataFrame, bucket_text: int = BUCKET_TEXT) -> DataFrame:
         np.maximum.at(most, at, n)
         return pa.table({"_id": known, "n": most, "c": np.bincount(at, weights=c, minlength=len(known)).astype(np.int64)})
 
-    sent = rows.mapInArrow(emit, "bucket long, kind long, a binary, b binary, c binary")
+    sent = rows.mapInArrow(released(emit), "bucket long, kind long, a binary, b binary, c binary")
     met = sent.groupBy("bucket").applyInArrow(meet, "place long, ids binary, n binary, c binary")
     return met.groupBy("place").applyInArrow(total_of, "_id long, n long, c long")
 
@@ -151,7 +154,7 @@ def shingle_sets(rows: DataFrame, tokens: bool) -> DataFrame:
                 columns.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes)))
             yield pa.record_batch(columns, names=["_id", "rid", "toks"][: len(columns)])
 
-    return rows.mapInArrow(work, "_id long, rid long" + ", toks array<long>" * tokens)
+    return rows.mapInArrow(released(work), "_id long, rid long" + ", toks array<long>" * tokens)
 
 
 def need_above(n: np.ndarray | int, threshold: int) -> np.ndarray | int:
@@ -397,7 +400,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = [ids, pa.array(np.bincount(row, minlength=len(ids)).astype(np.int64)), ids, none]
             yield pa.record_batch(columns[: 3 + links], names=["doc_id", "n_shingles", "component_id", "n_links"][: 3 + links])
 
-    return known.unionByName(every.filter("_id IS NULL").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long" + schema))
+    return known.unionByName(every.filter("_id IS NULL").mapInArrow(released(sizes), "doc_id long, n_shingles long, component_id long" + schema))
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import carried, chunks, mix, opened, whole_texts
+from tablewright.llm.shared import bounded, carried, chunks, mix, opened, release, released, whole_texts
 
 BITS = 16
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 1500
 """Bound of the training sample: about so many documents of each language, chosen by a hash of the identifier."""
-MOST_LANGUAGES = 1000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 SCALE = 30.0
 _LETTER = regex.compile(r"\p{L}")
@@ -91,13 +90,13 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
         own, rate = z[at], (beta + np.sqrt(n[at])) / alpha + l2
         return np.where(np.abs(own) > l1, -(own - np.sign(own) * l1) / rate, 0.0)
 
-    features = []
-    for bucket, count in rows:
-        at = np.append(bucket, len(idf))
-        features.append((at, np.append(count * idf[bucket] * (SCALE / max(count.sum(), 1)), 1.0)))
+    def feature(k: int) -> tuple[np.ndarray, np.ndarray]:
+        bucket, count = rows[k]
+        return np.append(bucket.astype(np.int64), len(idf)), np.append(count * idf[bucket] * (SCALE / max(count.sum(), 1)), 1.0)
+
     for _ in range(epochs):
         for k in train:
-            at, x = features[k]
+            at, x = feature(k)
             w = now(at)
             s = x @ w
             p = np.exp(s - s.max())
@@ -110,7 +109,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
     weights = now(np.arange(len(idf) + 1))
     temperature = 1.0
     if len(back):
-        scores = np.array([features[k][1] @ weights[features[k][0]] for k in back])
+        scores = np.array([x @ weights[at] for at, x in map(feature, back)])
 
         def loss(t: float) -> float:
             s = scores / t
@@ -125,12 +124,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """Learn from the rows with a label and a text; None if there are none.
 
     Document frequencies come from all these rows; the weights from about ``per_language`` rows of each
-    label. Only fixed-size data reach the driver: one count per bucket, the labels' counts (at most
-    MOST_LANGUAGES) and the sample's n-gram counts.
+    label. What reaches the driver grows with the number of labels alone: one count per bucket, the labels' counts
+    and the sample's n-gram counts; every label is learned. Rows of null text or label teach nothing, empty texts only
+    their label's share; a repeated row counts as often as it occurs, though one identifier is drawn as a whole or not
+    at all; texts are read whole, and other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(label_col).cast("string").alias("_label"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("_draw")).filter("_label IS NOT NULL AND _text IS NOT NULL")
-    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(MOST_LANGUAGES).collect()}
+    bounded(docs.sparkSession)
+    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     if not counts:
         return None
     languages = sorted(counts)
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         hit = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], total))], names=["bucket", "df"])
 
-    sums = rows.select(F.lit(0).cast("long").alias("_id"), "_text").mapInArrow(frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
+    sums = rows.select(F.lit(0).cast("long").alias("_id"), "_text").mapInArrow(released(frequencies), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
     idf, total = np.zeros(1 << BITS), 0
     for r in sums.collect():
         if r["bucket"] < 0:
@@ -170,41 +171,43 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
     number = F.create_map(*[x for k, label in enumerate(languages) for x in (F.lit(label), F.lit(k))])
     picked = rows.filter(draw < F.element_at(share, F.col("_label"))).select(F.element_at(number, F.col("_label")).cast("long").alias("_id"), "_text")
-    sample = picked.mapInArrow(sparse, "label long, bucket binary, n binary").collect()
+    sample = picked.mapInArrow(released(sparse), "label long, bucket binary, n binary").collect()
     sample.sort(key=lambda r: (bytes(r["bucket"]), bytes(r["n"]), r["label"]))  # the order of training doesn't depend on tasks
-    features = [(np.frombuffer(r["bucket"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint32).astype(np.float64)) for r in sample]
+    features = [(np.frombuffer(r["bucket"], np.uint16), np.frombuffer(r["n"], np.uint32)) for r in sample]
     weights, bias, temperature = ftrl(features, np.array([r["label"] for r in sample], np.int64), len(languages), idf)
+    del sample, features
+    release()
     return Model(languages, np.ascontiguousarray((weights * idf[:, None]).T), bias, temperature)
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (calibrated probability of lang_pred) of every whole text.
 
     A text that is null or has no letter, and every text if nothing was learned, is ``und`` with score 0.
     Ties go to the first language by name. Each row stands alone: repeated rows get equal answers, long
     texts are read whole, an empty table gives an empty result and other columns are not read; with
-    ``carry`` they are passed through, ``lang_pred`` and ``score`` taking the place of namesakes.
+    ``carry`` they are passed through, the two new columns (``names``) taking the place of namesakes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for ids, data, offsets in chunks(batches, CHUNK):
+        for ids, data, offsets in chunks(batches, CHUNK, text_col):
             texts = texts_of(data, offsets)
             letters = np.array([_LETTER.search(t) is not None for t in texts])
             if own is None:
-                names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                best, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             else:
                 p = own.probabilities(texts)
-                best = p.argmax(axis=1)
-                names = [own.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-                scores = np.where(letters, p[np.arange(len(best)), best], 0.0)
-            yield pa.record_batch([ids, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                place = p.argmax(axis=1)
+                best = [own.languages[b] if ok else UNKNOWN for b, ok in zip(place, letters, strict=True)]
+                scores = np.where(letters, p[np.arange(len(place)), place], 0.0)
+            yield pa.record_batch([ids, pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", *names])
 
     rows = carried(docs, text_col) if carry else whole_texts(docs, id_col, text_col)
-    schema = T.StructType([T.StructField("doc_id", rows.schema["_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    found = rows.mapInArrow(work, schema)
-    return opened(found, "doc_id", ["lang_pred", "score"]) if carry else found
+    schema = T.StructType([T.StructField("doc_id", rows.schema["_id"].dataType), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    found = rows.mapInArrow(released(work), schema)
+    return opened(found, "doc_id", list(names)) if carry else found
 
 
 def held_out(id_col: str, fold: int, at: int) -> Column:

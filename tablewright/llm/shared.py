@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 2 << 20
 """Bytes of text handled at once; a longer text is a chunk of its own."""
+BATCH_BYTES = 4 << 20
+"""Bytes of rows that go to a Python worker at once, about; 10,000 rows of any length would be Spark's own measure."""
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _MASK = (1 << 64) - 1
 
@@ -34,14 +39,46 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, unless it has a tighter bound."""
+    now = spark.conf.get(_BATCH_CONF).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def whole_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _text) of every row; a null text counts as empty, other columns are left behind."""
+    bounded(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
 
 def carried(df: DataFrame, text_col: str) -> DataFrame:
-    """(_id, _text) with the whole row as ``_id``, for operators that pass rows through."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    """The whole row as ``_id``, for operators that pass rows through; ``_text`` beside it only where the column is no string.
+
+    ``chunks`` reads the text of such rows from the row itself, so it goes to Python once.
+    """
+    bounded(df.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_id")
+    return df.select(row) if df.schema[text_col].dataType == T.StringType() else df.select(row, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, after which the worker gives back the memory that it holds free, as it may idle beside other stages' workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    """Give free memory of this process back to the system."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def opened(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
@@ -74,10 +111,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, bytes, offsets) of (_id, _text) batches, cut between rows at about ``most`` bytes."""
+def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES, text: str = "") -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, bytes, offsets) of (_id, _text) batches, or of carried rows with the column ``text``, cut between rows at about ``most`` bytes."""
     for batch in batches:
-        data, offsets = buffers(batch.column(1))
+        data, offsets = buffers(batch.column(1) if batch.num_columns > 1 else batch.column(0).field(batch.column(0).type.get_field_index(text)))
         at, rows = 0, batch.num_rows
         while at < rows:
             to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1

@@ -76,3 +76,12 @@ def test_null_and_clashing_ids_get_their_own_decision(spark, tmp_path):
     assert got == [(-1, text("c")), (3, text("a", 40)), (7, text("b"))]
     got = left(corpus_pipeline.clean_of_benchmarks, (7, text("item")), (7, text("b")), (None, "x " + text("item")), (None, text("c")))
     assert got == [(-1, text("c")), (7, text("b"))]
+
+
+def test_dotted_and_clashing_column_names(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "aeio rst nae", "aa", 5, "x", 7), (2, "aeio rst nae", "aa", 6, "y", 8)], "doc_id long, text string, lang string, `n.chars` long, score string, _id long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[:6] == ["doc_id", "text", "lang", "n.chars", "score", "_id"] or name == "byte_bpe"
+    assert [(r["doc_id"], r["n.chars"], r["score"], r["_id"]) for r in docs.collect()] == [(2, 6, "y", 8)]
