@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid
@@ -19,36 +19,45 @@ def without(docs: DataFrame, gone: Callable[[DataFrame], DataFrame], name: str)
 
     Where doc_id is null or repeated, rows are numbered in its order and judged by their number, each on its own.
     """
-    key, own = "doc_id", docs
+    own = keyed(docs)
     if not docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
-        own = docs.orderBy(F.asc_nulls_last("doc_id"), digest()).withColumn("_number", F.monotonically_increasing_id())
-        key, own = "_number", materialise(own, "numbered")
-    found = gone(own.withColumn("doc_id", F.col(key))).select(F.col("doc_id").alias(key)).distinct()
-    return own.join(small(found, name), key, "left_anti").select(*docs.columns)
+        own = own.orderBy(F.asc_nulls_last("_key"), "_sha").withColumn("_key", F.monotonically_increasing_id())
+        own = materialise(own, "numbered")
+    found = gone(own.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text"))).select(F.col("doc_id").alias("_key")).distinct()
+    return own.join(small(found, name), "_key", "left_anti").select("_row.*")
 
 
-def digest():
+def keyed(docs: DataFrame) -> DataFrame:
+    """The whole row as ``_row``, so that no name can clash, its doc_id as ``_key`` and its text's digest as ``_sha``."""
+    return docs.select(F.struct(*columns(docs)).alias("_row"), F.col("doc_id").alias("_key"), digest().alias("_sha"))
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def digest() -> Column:
     return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters or of an unsure language go."""
     model = langid.fit(docs.filter(~langid.held_out("doc_id", 4, 2)))
-    kept = langid.predict(docs.select("text", F.struct(*docs.columns).alias("_row")), model, carry=True).filter(F.col("lang_pred") != langid.UNKNOWN).filter(F.col("score") >= LEAST_SCORE)
-    return kept.select("_row.*")
+    found = langid.predict(docs, model, carry=True, names=("_lang", "_sure"))
+    return found.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_sure") >= LEAST_SCORE)).select(*columns(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts, that of the largest doc_id; of rows equal in both, one."""
     found = materialise(exact_dedup.exact_dedup(docs).select(F.col("doc_id").alias("_id"), "kept", F.col("text_sha256").alias("_digest")), "kept")
     gone = small(found.filter("NOT kept").select("_id", "_digest").distinct(), "copies", most=100_000)
-    own = docs.withColumn("_sha", digest())
-    rest = own.join(gone, (F.col("_sha") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    own = keyed(docs)
+    rest = own.join(gone, (F.col("_sha") == F.col("_digest")) & F.col("_key").eqNullSafe(F.col("_id")), "left_anti")
     twice = small(found.filter("kept").groupBy("_id").count().filter("count > 1").select("_id"), "twice")
-    if twice.isEmpty():
-        return rest.select(*docs.columns)
-    again = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return rest.join(twice, again, "left_anti").unionByName(rest.join(twice, again, "left_semi").dropDuplicates(["doc_id", "_sha"])).select(*docs.columns)
+    if not twice.isEmpty():
+        again = F.col("_key").eqNullSafe(F.col("_id"))
+        rest = rest.join(twice, again, "left_anti").unionByName(rest.join(twice, again, "left_semi").dropDuplicates(["_key", "_sha"]))
+    return rest.select("_row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +72,8 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids (binary, little-endian unsigned 32-bit) and hashes of ids and decoded text."""
-    coded = bpe.bpe_encode(docs, *bpe.production(), carry=True)
-    return coded.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")
+    coded = bpe.bpe_encode(docs, *bpe.production(), carry=True, digest=True)
+    return coded.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.lower(F.hex("decoded"))}).drop("decoded")
 
 
 STAGES = [
