@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.exact_dedup import tree_merge
-from tablewright.llm.shared import shared_dir
+from tablewright.llm.shared import buffers, shared_dir, small
 
 ARCHIVE_BYTES = 8 << 20
 """Compressed bytes after which a task closes an archive and begins the next."""
@@ -154,9 +155,9 @@ class Archive:
         """The entries of all index members, in order; without any, every record found by walking the WARC members."""
         indexes = [n for n in self.members if n.startswith("indexes/") and n.endswith(".cdxj")]
         for name in indexes:
-            for line in self.range(name, 0, self.members[name].size).decode().splitlines():
-                if "{" in line:
-                    yield json.loads(line[line.index("{") :])
+            for line in self.range(name, 0, self.members[name].size).decode().split("\n"):
+                if line.strip():  # key, time, entry; keys hold no blanks
+                    yield json.loads(line.split(" ", 2)[2])
         if not indexes:
             for name, member in self.members.items():
                 at = 0
@@ -217,8 +218,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     keyed = own.withColumn("_key", F.unhex(F.sha1("_payload")))
     digests = keyed.select("_id", "_key", F.unhex(F.concat(F.md5("_payload"), F.lpad(F.hex(F.octet_length("_payload")), 16, "0"))).alias("_check"))
     answer = tree_merge(digests, "max").select(F.col("_id").alias("_own"), F.col("_key").alias("_digest"), "_keep").distinct()
-    refers = F.when((F.octet_length("_payload") >= least_bytes) & ~F.col("_id").eqNullSafe(F.col("_keep")), F.col("_keep"))
-    ready = keyed.join(answer, keyed["_key"].eqNullSafe(answer["_digest"]) & keyed["_id"].eqNullSafe(answer["_own"])).select("_id", "_url", "_payload", "_key", refers.alias("_refers"))
+    # only the revisits meet the payloads: a response needs no answer, and few revisits are broadcast, so that payloads stay where they are
+    revisits = small(answer.filter(~F.col("_own").eqNullSafe(F.col("_keep"))), "revisits", most=100_000)
+    refers = F.when(F.octet_length("_payload") >= least_bytes, F.col("_keep"))
+    ready = keyed.join(revisits, (F.col("_key") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_own")), "left").select("_id", "_url", "_payload", "_key", refers.alias("_refers"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int | None, str | None, bytes, str, int | None]]:
@@ -239,40 +242,60 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
     ``page_id``, ``url``, ``record_type``, ``refers_to``, ``payload_bytes`` and ``payload_digest`` (of the full
     payload: measured for responses, declared for revisits), ``digest_ok`` (null for revisits) and, if wanted,
-    ``payload``. A damaged archive stops the query with its path.
+    ``payload``. A record without identifier has a null ``page_id``; equal records are rows each, in no order; a folder
+    without archives gives an empty result. A damaged archive stops the query with its path.
+
+    Where ``path`` is a mounted folder (scheme ``file``), the directory, the index and each record are read by range and nothing else. Python can't
+    open ranges of a store that only Spark's readers reach; there Spark hands over whole archives, which must be below 2 GB each.
     """
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "digest_ok", *["payload"] * payloads]
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), *[("payload", pa.binary())] * payloads])
     number = lambda said: int(said[10:-1]) if said and said[10:-1] else None
 
+    def archives(batch: pa.RecordBatch) -> Iterator[tuple[str, Callable[[int, int], bytes], int]]:
+        for k, (path, length) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if batch.num_columns == 2:
+                with open("/" + path.removeprefix("file:").lstrip("/"), "rb", buffering=0) as file:
+                    yield path, lambda at, n, number=file.fileno(): _read_range(number, at, n), length
+            else:
+                data, offsets = buffers(batch.column(2).slice(k, 1))
+                yield path, lambda at, n, data=data: data[at : at + n].tobytes(), int(offsets[-1])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                whole = memoryview(batch.column(1).slice(k, 1).buffers()[2])
-                low, high = batch.column(1).slice(k, 1).offset, None
-                marks = memoryview(batch.column(1).buffers()[1]).cast("i")
-                low, high = marks[low], marks[low + 1]
-                content = whole[low:high]
+            for path, read_at, length in archives(batch):
                 out: list[tuple] = []
+                held = 0
                 try:
-                    for warc, http, payload in Archive(lambda at, n, content=content: bytes(content[at : at + n]), len(content)).records():
+                    for warc, http, payload in Archive(read_at, length).records():
                         declared = warc["warc-payload-digest"].removeprefix("sha1:")
                         full = warc["warc-type"] != "revisit"
                         digest = base32_sha1(payload) if full else declared
                         row = (number(warc["warc-record-id"]), warc["warc-target-uri"], warc["warc-type"], number(warc.get("warc-refers-to")), len(payload) if full else int(http["content-length"]), digest, digest == declared if full else None)
                         out.append((*row, payload) if payloads else row)
-                        if len(out) >= 2000:
+                        held += len(payload) * payloads
+                        if len(out) >= 2000 or held >= ARCHIVE_BYTES:
                             yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], names=names)
-                            out = []
-                except (ValueError, KeyError, zlib.error, struct.error) as e:
-                    raise ValueError(f"{batch.column(0)[k].as_py()}: {e}") from e
+                            out, held = [], 0
+                except (ValueError, KeyError, IndexError, zlib.error, struct.error) as e:
+                    raise ValueError(f"{path}: {e}") from e
                 if out:
                     yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    mounted = path.startswith(("file:", "/"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "length", *["content"] * (not mounted))
     return files.mapInArrow(work, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean" + ", payload binary" * payloads)
 
 
+def _read_range(file: int, at: int, n: int) -> bytes:
+    """``n`` bytes at ``at``, less only at the end of the file."""
+    parts = []
+    while n > 0 and (part := os.pread(file, n, at)):
+        parts.append(part)
+        at, n = at + len(part), n - len(part)
+    return b"".join(parts)
+
+
 def op3_warc_zip(spark, sf_dir: str) -> DataFrame:
     """The contract's query: write all pages to archives in the shared folder and read them back."""
     path = shared_dir(spark, "warc")

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import os
 import zipfile
 
 import pytest
@@ -56,7 +57,7 @@ def brute(rows, least=0):
 @pytest.mark.parametrize("least", [0, 10])
 def test_round_trip_matches_brute_force(spark, tmp_path, least):
     rows = [(k, f"http://a/{k}", f"<p>{k % 40} é日本</p>") for k in range(150)] + [(500 + k, None, "<p>hot</p>") for k in range(150)]
-    rows += [(900, None, None), (901, "u\r\nX: y", ""), (902, "", "long " * 200_000), (903, "u", "tiny"), (904, "u", "tiny"), (904, "u", "tiny"), (None, "u", "tiny")]
+    rows += [(900, None, None), (901, "u\r\nX: y", ""), (905, "http://x/{id} {b}?q={", "braces"), (902, "", "long " * 200_000), (903, "u", "tiny"), (904, "u", "tiny"), (904, "u", "tiny"), (None, "u", "tiny")]
     frame = spark.createDataFrame([(*r, "c", 3) for r in rows], SCHEMA).repartition(4)
     write_archives(frame, f"file://{tmp_path}/w", least_bytes=least, most=20_000)
     got = read_archives(spark, f"file://{tmp_path}/w", payloads=True).collect()
@@ -72,3 +73,17 @@ def test_round_trip_matches_brute_force(spark, tmp_path, least):
 def test_empty_table(spark, tmp_path):
     write_archives(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w")
     assert read_archives(spark, f"file://{tmp_path}/w").collect() == []
+
+
+def test_ranges_and_whole_contents_agree(spark, tmp_path):
+    rows = [(k, f"http://a/{{{k}}}", f"<p>{k % 7}</p>" * (k + 1)) for k in range(40)]
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w w", most=500)
+    ranged = sorted(map(tuple, read_archives(spark, f"file://{tmp_path}/w w", payloads=True).collect()))
+    seen = []
+    (raw,) = package(iter([(1, "u", b"x" * 100_000, base32_sha1(b"x"), None)]))
+    raw += b"\n"
+    archive = Archive(lambda at, n: seen.append(n) or raw[at : at + n], len(raw))
+    assert next(archive.records())[2] == b"x" * 100_000 and sum(seen) < 3000 + 2 * len(raw)
+    # a relative path names no mounted folder, so whole archives come from Spark
+    whole = read_archives(spark, os.path.relpath(f"{tmp_path}/w w"), payloads=True)
+    assert sorted(map(tuple, whole.collect())) == ranged and len(ranged) == 40
