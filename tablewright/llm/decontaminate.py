@@ -14,9 +14,12 @@ from tablewright.llm.shared import chunks, released, shingles, whole_texts
 THRESHOLD = 75
 """Per cent of an item's shingles that a document must hold."""
 BLOCK_SHINGLES = 2_000_000
-"""Shingles of the items broadcast at once, 16 MB; more items are searched in several passes of this size."""
-SMALL_BINS = 20
-"""log2 of the bins of a signature at least, so that items of a few shingles aren't missed either."""
+"""Shingles of the items broadcast at once, about 16 MB; more items are searched in several passes of this size."""
+SMALL = 4
+"""log2 of the shingles up to which an item counts as small."""
+BINS, SMALL_BINS = 7, 16
+"""log2 of the bins of a signature, and of a small item's: it has few shingles, so each needs a bin of its own."""
+NONE = np.uint64((1 << 64) - 1)
 
 
 class Index:
@@ -25,30 +28,37 @@ class Index:
     Partition p holds the items of 2^(p-1) < n <= 2^p distinct shingles. Its domain on the document side
     is every window of 2^(p+1) shingles at a stride of 2^p, so a passage as long as an item lies in one
     window and the containment of the item in a long document becomes a containment in a set of like
-    size. A signature is a one-permutation MinHash: the smallest hash of each of max(2^(p+4), 2^20) bins.
+    size. A signature is a one-permutation MinHash: the smallest hash of each of 2^BINS bins, at most 128
+    numbers however long the item. An item with three quarters of its shingles in a window has some ten entries
+    or more in common with it (with the window's Jaccard similarity of 0.17 at worst, 0.17 x 128); one is enough for a candidate,
+    so about one passage in 10^8 is missed. ``contamination`` verifies candidates exactly.
     """
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]]):
         self.items = [(item, own) for item, own in items if len(own)]
-        parts: dict[int, list[tuple[int, int]]] = {}
+        parts: dict[int, list[int]] = {}
         for k, (_, own) in enumerate(self.items):
-            p = max(0, int(len(own) - 1).bit_length())
-            for h in minima(own, self.bins(p)).tolist():
-                parts.setdefault(p, []).append((h, k))
+            parts.setdefault(max(0, int(len(own) - 1).bit_length()), []).append(k)
         self.parts = []
-        for p, rows in sorted(parts.items()):
-            rows.sort()
-            hashes = np.array([h for h, _ in rows], np.uint64)
+        for p, ks in sorted(parts.items()):
+            signatures = [minima(self.items[k][1], self.bins(p)) for k in ks]
+            hashes, owner = np.concatenate(signatures), np.repeat(np.array(ks, np.int64), [len(x) for x in signatures])
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
             marks = np.zeros(1 << 22, bool)
             marks[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.parts.append((p, marks, hashes, np.array([k for _, k in rows], np.int64)))
+            self.parts.append((p, marks, hashes, owner))
 
     @staticmethod
     def bins(p: int) -> int:
-        return max(p + 4, SMALL_BINS)
+        return SMALL_BINS if p <= SMALL else BINS
 
     def candidates(self, row: np.ndarray, hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Unique (row, item number) pairs with a common signature entry; rows' shingles lie at first .. first + count."""
+        """Unique (row, item number) pairs with a common signature entry; rows' shingles lie at first .. first + count.
+
+        A shingle that is an entry of some item is one of a window too if it is the smallest of its bin there. A window is two
+        neighbouring blocks, so the smallest of each block and bin are found once, by one sort of the rows that have such shingles.
+        """
         pairs = [np.zeros((0, 2), np.int64)]
         place = (hashes & np.uint64((1 << 22) - 1)).astype(np.int64)
         for p, marks, known, owner in self.parts:
@@ -56,23 +66,26 @@ class Index:
             left = np.searchsorted(known, hashes[at], side="left")
             right = np.searchsorted(known, hashes[at], side="right")
             at, left, right = at[right > left], left[right > left], right[right > left]
-            ok = np.zeros(len(at), bool)
-            width, shift = 1 << p, np.uint64(64 - self.bins(p))
-            for lo in range(0, len(at), 2048):
-                mine = at[lo : lo + 2048]
-                begin = first[row[mine]]
-                window = (mine - begin) // width
-                end = begin + count[row[mine]]
-                good = np.zeros(len(mine), bool)
-                for back in (0, 1):
-                    start = begin + (window - back) * width
-                    spot = start[:, None] + np.arange(2 * width)
-                    real = (spot >= begin[:, None]) & (spot < end[:, None])
-                    near = hashes[np.clip(spot, 0, len(hashes) - 1)]
-                    own = hashes[mine][:, None]
-                    smaller = real & (near < own) & (near >> shift == own >> shift)
-                    good |= (window >= back) & ~smaller.any(axis=1)
-                ok[lo : lo + 2048] = good
+            if not len(at):
+                continue
+            width, bits = 1 << p, self.bins(p)
+            met = np.zeros(len(first), bool)
+            met[row[at]] = True
+            base = np.cumsum(count // width + 2) - count // width  # a free number between the blocks of two rows
+            key = lambda q: (base[row[q]] + (q - first[row[q]]) // width << bits) | (hashes[q] >> np.uint64(64 - bits)).astype(np.int64)  # noqa: E731, B023
+            inside = np.flatnonzero(met[row])
+            keys = key(inside)
+            order = np.lexsort((hashes[inside], keys))
+            keys = keys[order]
+            edge = np.concatenate([[True], keys[1:] != keys[:-1]])
+            keys, least = keys[edge], hashes[inside][order][edge]
+
+            def smallest(of: np.ndarray, keys=keys, least=least) -> np.ndarray:
+                spot = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+                return np.where(keys[spot] == of, least[spot], NONE)
+
+            own, here = hashes[at], key(at)
+            ok = (own <= smallest(here)) & ((own <= smallest(here + (1 << bits))) | (own <= smallest(here - (1 << bits))))
             at, left, size = at[ok], left[ok], (right - left)[ok]
             rows = np.repeat(row[at], size)
             inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -107,9 +120,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Words are runs other than white space, A-Z in lower case; an item of fewer than five words is one
     shingle, its whole sequence, and matches only documents that are that sequence. Returns ``doc_id``,
     ``item_id``, ``item_shingles``, ``shared``, ``containment``, one row per pair and per repeated row;
-    documents and items without words (null or empty) never match. Whole documents of any length are
-    searched in place, without a shuffle: the items' signatures are broadcast in blocks of at most
-    ``block`` shingles, counted first, and each block is one pass. Empty tables give an empty result.
+    documents and items without words (null or empty) never match; rows without identifier match with a null
+    one. Equal items each match, and ties need no order. Whole documents of any length are
+    searched in place, without a shuffle, in memory that grows with the longest document: the items are broadcast in blocks of about
+    ``block`` shingles, counted first, and each block is one pass. Other columns stay out; empty tables give an empty result.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_shingles long, shared long, containment double"
@@ -125,7 +139,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     blocks = max(1, -(-int(known.agg(F.sum("n")).first()[0] or 0) // block))
     found = None
     for k in range(blocks):
-        rows = known.filter(F.pmod(F.xxhash64("set"), F.lit(blocks)) == k).select("item_id", "set").collect()
+        rows = known.filter(F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)) == k).select("item_id", "set").collect()
         shared = spark.sparkContext.broadcast([(r["item_id"], bytes(r["set"])) for r in rows])
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
