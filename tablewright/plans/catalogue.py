@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
 from tablewright.operators import catalog, context, evaluate, layout, pages, questions, records, retrieve
-from tablewright.sources.tables import table
+from tablewright.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,17 +158,15 @@ def exact_wildcard_filter(spark, d):
 
 def _documents(spark, d) -> DataFrame:
     """Documents as records: language as item, source as section."""
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("item"), F.col("source").alias("section"), F.lit("text").alias("parameter"), F.col("text"))
+    return spread(table(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("record_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("item"), F.col("source").alias("section"), F.lit("text").alias("parameter"), F.col("text"))
 
 
-def _bench_queries(spark, d, whole: bool = False) -> DataFrame:
-    """A query of the first six tokens of each benchmark item, or of all, for English documents of one source."""
-    tokens = tx.search_tokens("text")
-    tokens = tokens if whole else F.slice(tokens, 1, 6)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokens.alias("terms"), F.lit("en").alias("q_item"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("q_section"), F.lit("text").alias("q_parameter"))
+def _bench_queries(spark, d) -> DataFrame:
+    """A query of all tokens of each benchmark item, for English documents of one source."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.search_tokens("text").alias("terms"), F.lit("en").alias("q_item"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("q_section"), F.lit("text").alias("q_parameter"))
 
 
-def _bm25_sql(pick: str = "[1:6]") -> str:
+def _bm25_sql() -> str:
     norm = """trim(regexp_replace(translate(lower(coalesce(text, '')), '“”’', '""'''''), '[^a-z0-9"''./+\\-]+', ' ', 'g'))"""
     return f"""
 docs AS (SELECT doc_id, item, section, list_filter(string_split(n, ' '), lambda t: t <> '') AS ts FROM (SELECT doc_id, lang AS item, source AS section, {norm} AS n FROM documents)),
@@ -176,7 +174,7 @@ stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM docs),
 posts AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM docs) GROUP BY ALL),
 raw AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts, stats GROUP BY term, n),
 idfs AS (SELECT term, CASE WHEN idf < 0 THEN (SELECT 0.25 * avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
-asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(string_split(n, ' '), lambda t: t <> ''){pick}) AS term FROM (SELECT item_id, {norm} AS n FROM benchmark)) GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(string_split(n, ' '), lambda t: t <> '')) AS term FROM (SELECT item_id, {norm} AS n FROM benchmark)) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN idfs USING (term) JOIN posts USING (term), stats GROUP BY ALL),
 filled AS (SELECT q.query_id, d.doc_id, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT query_id FROM asked) q CROSS JOIN docs d LEFT JOIN scored s ON s.query_id = q.query_id AND s.doc_id = d.doc_id),
 bm25 AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM filled QUALIFY rank <= 10)"""
@@ -184,14 +182,8 @@ bm25 AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (P
 
 @query(f"WITH {_bm25_sql()} SELECT query_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM bm25")
 def bm25_topk(spark, d):
-    posted = retrieve.postings(_documents(spark, d), tx.search_tokens("text"))
-    return retrieve.bm25(posted, _bench_queries(spark, d), 10).select("query_id", "record_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
-
-
-@query(f"WITH {_bm25_sql('')} SELECT query_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM bm25")
-def bm25_topk_whole_texts(spark, d):
-    posted = retrieve.postings(_documents(spark, d), tx.search_tokens("text"))
-    return retrieve.bm25(posted, _bench_queries(spark, d, whole=True), 10).select("query_id", "record_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    index = retrieve.tokenised(_documents(spark, d), tx.search_tokens("text"))
+    return retrieve.bm25(index, _bench_queries(spark, d), 10).select("query_id", "record_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 _STRUCTURED = """
@@ -207,32 +199,20 @@ def _fused(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "record_id", *[F.col(c).cast("long").alias(c) for c in ("hybrid_rank", "structured_rank", "bm25_rank")], F.round("hybrid_score", 8).alias("hybrid_score"))
 
 
-def _asking(spark, d, whole: bool = False) -> DataFrame:
-    return _bench_queries(spark, d, whole).withColumns({"q_subsection": _null(), "q_sub_parameter": _null(), "q_side": _null()})
+def _asking(spark, d) -> DataFrame:
+    return _bench_queries(spark, d).withColumns({"q_subsection": _null(), "q_sub_parameter": _null(), "q_side": _null()})
 
 
 @query(f"WITH {_bm25_sql()}, {_STRUCTURED}, {_FUSE.format(keep='')}")
 def rrf_hybrid(spark, d):
     own = _documents(spark, d)
-    return _fused(retrieve.hybrid_v1(own.drop("text"), retrieve.postings(own, tx.search_tokens("text")), _asking(spark, d)))
+    return _fused(retrieve.hybrid_v1(own.drop("text"), retrieve.tokenised(own, tx.search_tokens("text")), _asking(spark, d)))
 
 
 @query(f"WITH {_bm25_sql()}, {_STRUCTURED}, {_FUSE.format(keep=chr(32) + 'SEMI JOIN (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.lang = ' + repr('en') + ' AND d.source = ' + repr('src') + ' || CAST(b.item_id % 20 AS VARCHAR)) g ON g.item_id = bm25.query_id AND g.doc_id = bm25.doc_id')}")
 def hybrid_v2(spark, d):
     own = _documents(spark, d)
-    return _fused(retrieve.hybrid_v2(own.drop("text"), retrieve.postings(own, tx.search_tokens("text")), _asking(spark, d)))
-
-
-@query(f"WITH {_bm25_sql('')}, {_STRUCTURED}, {_FUSE.format(keep='')}")
-def rrf_hybrid_whole_texts(spark, d):
-    own = _documents(spark, d)
-    return _fused(retrieve.hybrid_v1(own.drop("text"), retrieve.postings(own, tx.search_tokens("text")), _asking(spark, d, whole=True)))
-
-
-@query(f"WITH {_bm25_sql('')}, {_STRUCTURED}, {_FUSE.format(keep=chr(32) + 'SEMI JOIN (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.lang = ' + repr('en') + ' AND d.source = ' + repr('src') + ' || CAST(b.item_id % 20 AS VARCHAR)) g ON g.item_id = bm25.query_id AND g.doc_id = bm25.doc_id')}")
-def hybrid_v2_whole_texts(spark, d):
-    own = _documents(spark, d)
-    return _fused(retrieve.hybrid_v2(own.drop("text"), retrieve.postings(own, tx.search_tokens("text")), _asking(spark, d, whole=True)))
+    return _fused(retrieve.hybrid_v2(own.drop("text"), retrieve.tokenised(own, tx.search_tokens("text")), _asking(spark, d)))
 
 
 _SPLIT = r"""
@@ -312,22 +292,11 @@ def context_text(spark, d):
     return context.joined(said, "conv_id", "turn", "_t", "context_text")
 
 
-@query("""
-WITH c AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t, arg_max(text, turn) AS q FROM conversations GROUP BY conv_id)
-SELECT conv_id AS query_id, sha256('Context:' || chr(10) || chr(10) || CASE WHEN conv_id % 3 = 0 THEN 'NO RETRIEVED RECORDS.' ELSE t END || chr(10) || chr(10) || 'Question:' || chr(10) || chr(10) || q || chr(10) || chr(10) || 'Answer using only the context above.') AS user_sha256 FROM c
-""")
-def prompt(spark, d):
-    own = table(spark, d, "conversations")
-    asked = own.groupBy(F.col("conv_id").alias("query_id")).agg(F.max_by("text", "turn").alias("query"))
-    found = context.joined(own.filter("conv_id % 3 <> 0").withColumn("query_id", F.col("conv_id")), "query_id", "turn", "text", "context_text")
-    return context.prompts(asked, found).select("query_id", F.sha2("user", 256).alias("user_sha256"))
-
-
 @query("""
 WITH c AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t, arg_max(text, turn) AS q FROM conversations GROUP BY conv_id)
 SELECT conv_id AS query_id, sha256('Context:' || chr(10) || chr(10) || t || chr(10) || chr(10) || 'Question:' || chr(10) || chr(10) || q || chr(10) || chr(10) || 'Answer using only the context above.') AS user_sha256 FROM c
 """)
-def prompt_every_conversation(spark, d):
+def prompt(spark, d):
     own = table(spark, d, "conversations").withColumn("query_id", F.col("conv_id"))
     asked = own.groupBy("query_id").agg(F.max_by("text", "turn").alias("query"))
     return context.prompts(asked, context.joined(own, "query_id", "turn", "text", "context_text")).select("query_id", F.sha2("user", 256).alias("user_sha256"))
@@ -465,7 +434,7 @@ def normalise_text(spark, d):
 
 @query()
 def chunk_pack(spark, d):
-    own = table(spark, d, "documents").select("doc_id", F.posexplode(layout.split_text("text")).alias("part", "content"))
+    own = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(layout.split_text("text")).alias("part", "content"))
     return own.select("doc_id", F.col("part").cast("long").alias("part"), F.length("content").cast("long").alias("characters"), F.sha2("content", 256).alias("content_sha256"))
 
 
@@ -473,6 +442,6 @@ def chunk_pack(spark, d):
 def multi_intent_search(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("_q"), F.col("text").alias("query"))
     intents = questions.split_intents(asked.withColumn("query_id", F.col("_q"))).withColumn("query_id", F.concat_ws("#", F.col("_q").cast("string"), "intent_index")).withColumn("terms", tx.search_tokens("intent"))
-    hits = retrieve.bm25(retrieve.postings(_documents(spark, d), tx.search_tokens("text")), intents, 5)
+    hits = retrieve.bm25(retrieve.tokenised(_documents(spark, d), tx.search_tokens("text")), intents, 5)
     own = hits.join(intents.select("query_id", "_q", "intent_index"), "query_id").select(F.col("_q").alias("query_id"), "intent_index", "record_id", F.col("rank").alias("hybrid_rank"))
     return retrieve.multi_intent(own, None).select("query_id", "record_id", F.col("intent_index").cast("long").alias("intent_index"), F.col("rank").cast("long").alias("rank"))

@@ -22,3 +22,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{root.rstrip('/')}/tablewright-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is small: one task would read a small file's only row group and do all that follows alone.
+
+    Larger inputs, by the optimizer's estimate, have row groups enough and are left where they are.
+    """
+    spark = df.sparkSession
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df

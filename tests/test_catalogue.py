@@ -16,7 +16,7 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["bm25_topk_whole_texts", "rrf_hybrid_whole_texts", "hybrid_v2_whole_texts"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_hybrid", "hybrid_v2"])
 def test_terms_after_the_sixth_are_searched(spark, tables, name):
     rank = "rank" if name.startswith("bm25") else "bm25_rank"
     assert {r.record_id for r in QUERIES[name](spark, tables).collect() if (r[rank] or 9) <= 2} == {"100", "101"}
@@ -30,7 +30,7 @@ def test_every_intent_of_the_whole_text_is_searched(spark, tables):
 def test_every_conversation_has_its_context(spark, tables):
     want = {k: f"Context:\n\nc{k}t0\n\nc{k}t1\n\nQuestion:\n\nc{k}t1\n\nAnswer using only the context above." for k in (2, 3)}
     told = spark.createDataFrame(list(want.items()), "query_id long, user string").select("query_id", F.sha2("user", 256)).collect()
-    assert sorted(map(tuple, QUERIES["prompt_every_conversation"](spark, tables).collect())) == sorted(map(tuple, told))
+    assert sorted(map(tuple, QUERIES["prompt"](spark, tables).collect())) == sorted(map(tuple, told))
 
 
 def test_a_query_without_context_gets_the_placeholder(spark):

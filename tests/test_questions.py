@@ -30,7 +30,7 @@ def recs(spark):
 
 @pytest.fixture(scope="module")
 def posted(recs):
-    return cut(retrieve.postings(recs, tx.search_tokens(retrieve.search_text(recs))))
+    return cut(retrieve.tokenised(recs, tx.search_tokens(retrieve.search_text(recs))))
 
 
 def asked(spark, *texts):
