@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.shared import bounded, carried, chunks, mix, opened, release, released, whole_texts
+from tablewright.sources.tables import spread
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -129,7 +130,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     their label's share; a repeated row counts as often as it occurs, though one identifier is drawn as a whole or not
     at all; texts are read whole, and other columns are not read.
     """
-    rows = docs.select(F.col(label_col).cast("string").alias("_label"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("_draw")).filter("_label IS NOT NULL AND _text IS NOT NULL")
+    rows = spread(docs).select(F.col(label_col).cast("string").alias("_label"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("_draw")).filter("_label IS NOT NULL AND _text IS NOT NULL")
     bounded(docs.sparkSession)
     counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     if not counts:

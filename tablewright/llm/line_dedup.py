@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.shared import materialise
+from tablewright.sources.tables import spread
 
 LEAST_LINES = 4
 LEAST_WORDS = 20
@@ -30,7 +31,7 @@ def ranked(keys: DataFrame, group: list[str], by: str, bucket: Column, start: Co
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per line: ``d`` and ``t`` (document), ``p`` (position from 0), ``lid`` (digest), ``w`` (words)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("p", "line"))
+    rows = spread(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("p", "line"))
     lines = rows.select("d", "t", F.col("p").cast("long").alias("p"), F.md5(F.col("line").cast("binary")).alias("lid"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("w"))
     return lines.dropDuplicates(["d", "t", "p"])
 

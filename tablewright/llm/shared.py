@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.sources.tables import spread
+
 CHUNK_BYTES = 2 << 20
 """Bytes of text handled at once; a longer text is a chunk of its own."""
 BATCH_BYTES = 4 << 20
@@ -49,7 +51,7 @@ def bounded(spark: SparkSession) -> None:
 def whole_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _text) of every row; a null text counts as empty, other columns are left behind."""
     bounded(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    return spread(df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")))
 
 
 def carried(df: DataFrame, text_col: str) -> DataFrame:
@@ -59,6 +61,7 @@ def carried(df: DataFrame, text_col: str) -> DataFrame:
     """
     bounded(df.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_id")
+    df = spread(df)
     return df.select(row) if df.schema[text_col].dataType == T.StringType() else df.select(row, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
 
 
