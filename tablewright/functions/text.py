@@ -189,26 +189,56 @@ def letter_heading(c: Column | str) -> Column:
     return strip(c).rlike(r"^[A-Z]\.\s+[A-Z][A-Z0-9 &/\-(),.']{2,}$")
 
 
-# Marks of a repeated page head, of a page label and of scanning leftovers.
-HEADER_PATTERNS = (r"PRODUCT STANDARD", r"HYDERABAD", r"TC\s*65132", r"REV\s*NO", r"PAGE\s+\d+\s+OF\s+\d+")
-PAGE_LABELS = r"(?i)^(?:Page\s+\d+\s+of\s+\d+|Rev\.?\s*No\.?\s*\d+|TC\s*\d+|HYDERABAD|PRODUCT STANDARD)$"
-NOISE_PATTERNS = r"(?i)^fe\.?\s*co\s*R\s*D$|^R\s*00\s*T|^10\s+00o|^D,\s*E"
-
-
-def repeated_header(c: Column | str) -> Column:
+# Marks of a repeated page head, what is taken out of one, page labels, scanning leftovers. They belong to one kind of
+# document; the functions take others as a parameter.
+HEADER_PATTERNS = (
+    r"PRODUCT STANDARD",
+    r"HYDERABAD",
+    r"TC\s*65132",
+    r"REV\s*NO",
+    r"PAGE\s+\d+\s+OF\s+\d+",
+)
+HEADER_MARKS = (
+    r"PRODUCT STANDARD",
+    r"HYDERABAD",
+    r"TC\s*65132",
+    r"Rev\s*No\.?\s*\d+",
+    r"Page\s+\d+\s+of\s+\d+",
+)
+PAGE_LABELS = (
+    r"^Page\s+\d+\s+of\s+\d+$",
+    r"^Rev\.?\s*No\.?\s*\d+$",
+    r"^TC\s*\d+$",
+    r"^HYDERABAD$",
+    r"^PRODUCT STANDARD$",
+)
+NOISE_PATTERNS = (
+    r"^fe\.?\s*co\s*R\s*D$",
+    r"^R\s*00\s*T",
+    r"^10\s+00o",
+    r"^D,\s*E",
+)
+
+
+def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether one of the patterns is found, whatever the case."""
+    return F.array_contains(F.array(*[c.rlike(f"(?i){p}") for p in patterns]), True)
+
+
+def repeated_header(c: Column | str, patterns: tuple[str, ...] = HEADER_PATTERNS) -> Column:
     """At least two of the header patterns."""
     up = F.upper(col(c))
-    return sum((up.rlike(p).cast("int") for p in HEADER_PATTERNS), F.lit(0)) >= 2
+    return sum((up.rlike(p).cast("int") for p in patterns), F.lit(0)) >= 2
 
 
-def page_label(c: Column | str) -> Column:
-    return clean_chunk(c).rlike(PAGE_LABELS)
+def page_label(c: Column | str, patterns: tuple[str, ...] = PAGE_LABELS) -> Column:
+    return any_of(clean_chunk(c), patterns)
 
 
-def layout_noise(c: Column | str) -> Column:
+def layout_noise(c: Column | str, patterns: tuple[str, ...] = NOISE_PATTERNS) -> Column:
     """Empty, or at most 8 characters with at most 3 letters, or a known leftover."""
     bare = clean_chunk(c)
-    return (bare == "") | ((F.length(bare) <= 8) & (F.regexp_count(bare, F.lit("[A-Za-z]")) <= 3)) | bare.rlike(NOISE_PATTERNS)
+    return (bare == "") | ((F.length(bare) <= 8) & (F.regexp_count(bare, F.lit("[A-Za-z]")) <= 3)) | any_of(bare, patterns)
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

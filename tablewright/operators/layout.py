@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
-from tablewright.operators.records import json_plain
 
 MAX_CHARS = 1800
 CELL = "struct<row:int,column:int,rowspan:int,colspan:int,text:string>"
@@ -201,11 +200,11 @@ def split_text(c: Column | str, most: int = MAX_CHARS) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= most, F.array(text)).otherwise(F.flatten(pieces))
 
 
-def without_header(c: Column) -> Column:
+def without_header(c: Column, marks: tuple[str, ...] = tx.HEADER_MARKS) -> Column:
     """A text without the marks of a repeated page head, if it is one."""
     bare = c
-    for mark in (r"(?i)PRODUCT STANDARD", r"(?i)HYDERABAD", r"(?i)TC\s*65132", r"(?i)Rev\s*No\.?\s*\d+", r"(?i)Page\s+\d+\s+of\s+\d+"):
-        bare = F.regexp_replace(bare, mark, "")
+    for mark in marks:
+        bare = F.regexp_replace(bare, f"(?i){mark}", "")
     return F.when(tx.repeated_header(c), tx.clean_chunk(bare)).otherwise(c)
 
 
@@ -277,7 +276,3 @@ def chunk_violations(made: DataFrame, most: int = MAX_CHARS) -> DataFrame:
 def block_statistics(blocks: DataFrame) -> DataFrame:
     """(type, n) of blocks, ignored ones too."""
     return blocks.groupBy("type").agg(F.count("*").alias("n"))
-
-
-def plain_content(content: Column) -> Column:
-    return json_plain(content)

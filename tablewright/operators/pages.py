@@ -116,10 +116,12 @@ EXPECTED_SIGNALS = ("requires_ocr", "contains_images", "high_vector_complexity",
 
 
 def rederive(pages: DataFrame, classified: DataFrame) -> DataFrame:
-    """(page_number, field, expected, actual) where a class of ``classified`` differs from what ``pages`` gives; a page without class is an issue."""
-    fresh = pages.select("page_number", page_state(F.col("characters"), F.col("images")).alias("e_page_state"), *[complexity(k).alias(f"e_{k}") for k in CLASSES])
-    both = fresh.join(classified.select("page_number", "page_state", *CLASSES, F.lit(1).alias("_there")), "page_number", "left")
-    differs = [F.when(~F.col(f"e_{k}").eqNullSafe(F.col(k)), F.struct(F.lit(k).alias("field"), F.col(f"e_{k}").alias("expected"), F.col(k).alias("actual"))) for k in ("page_state", *CLASSES)]
+    """(page_number, field, expected, actual) where a class or one of EXPECTED_SIGNALS of ``classified`` differs from what ``pages`` gives; a page without class is an issue."""
+    signal = lambda s: F.array_contains("routing_signals", s).cast("string")
+    fields = {k: F.col(k) for k in ("page_state", *CLASSES)} | {s: signal(s) for s in EXPECTED_SIGNALS}
+    fresh = classify(pages).select("page_number", *[v.alias(f"e_{k}") for k, v in fields.items()])
+    both = fresh.join(classified.select("page_number", *[v.alias(k) for k, v in fields.items()], F.lit(1).alias("_there")), "page_number", "left")
+    differs = [F.when(~F.col(f"e_{k}").eqNullSafe(F.col(k)), F.struct(F.lit(k).alias("field"), F.col(f"e_{k}").alias("expected"), F.col(k).alias("actual"))) for k in fields]
     missing = F.array(F.struct(F.lit("page").alias("field"), F.lit("present").alias("expected"), F.lit("missing").alias("actual")))
     return both.select("page_number", F.explode(F.when(F.col("_there").isNull(), missing).otherwise(F.array_compact(F.array(*differs)))).alias("d")).select("page_number", "d.*")
 
@@ -131,7 +133,7 @@ SEVERITY = ("CONSISTENT", "WARNING", "REVIEW_REQUIRED", "CONTRADICTION")
 def reconcile(classified: DataFrame, investigated: DataFrame) -> DataFrame:
     """One row per classified page with the status of each check against an independent investigation, and the worst.
 
-    Page type, characters, images and drawings contradict when they differ; words and classes warn; an investigation that sees a grid asks for
+    Page type, characters, images, drawings and the classes of vectors and images contradict when they differ; words and blocks warn; an investigation that sees a grid asks for
     review, signals without physical ground warn. A page without investigation is a contradiction.
     """
     names = ("characters", "words", "blocks", "images", "drawings", "horizontal_lines", "vertical_lines", "rectangles")
@@ -150,8 +152,8 @@ def reconcile(classified: DataFrame, investigated: DataFrame) -> DataFrame:
         "block_count": level(F.abs(c("blocks") - c("i_blocks")) > BLOCK_TOLERANCE, "WARNING"),
         "image_count": level(c("images") != c("i_images"), "CONTRADICTION"),
         "drawing_count": level(c("drawings") != c("i_drawings"), "CONTRADICTION"),
-        "vector_class": level(c("vector_complexity") != vector_class, "WARNING"),
-        "image_class": level(c("image_complexity") != image_class, "WARNING"),
+        "vector_class": level(c("vector_complexity") != vector_class, "CONTRADICTION"),
+        "image_class": level(c("image_complexity") != image_class, "CONTRADICTION"),
         "routing": F.when(grid, SEVERITY.index("REVIEW_REQUIRED")).when(F.size(F.array_except("routing_signals", ground)) > 0, SEVERITY.index("WARNING")).otherwise(0),
     }
     names = F.array(*[F.lit(s) for s in SEVERITY])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
 from tablewright.operators import catalog, context, evaluate, layout, pages, questions, records, retrieve
-from tablewright.sources.tables import spread, table
+from tablewright.sources.tables import cut, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -231,7 +231,7 @@ def split_intents(spark, d):
 @query(r"""
 WITH q AS (SELECT p_partkey AS query_id, ' SHOW ' || upper(p_name) || ' FOR ' || upper(coalesce(lead(p_name) OVER (ORDER BY p_partkey), 'none')) || ' ' AS t FROM part)
 , v AS (SELECT DISTINCT p_name FROM part)
-, hits AS (SELECT query_id, p_name, row_number() OVER (PARTITION BY query_id ORDER BY len(string_split(p_name, ' ')) DESC, length(p_name) DESC, p_name DESC) AS k FROM q JOIN v ON contains(t, ' ' || upper(p_name) || ' '))
+, hits AS (SELECT query_id, p_name, row_number() OVER (PARTITION BY query_id ORDER BY len(string_split(p_name, ' ')) DESC, length(p_name) DESC, p_name) AS k FROM q JOIN v ON contains(t, ' ' || upper(p_name) || ' '))
 SELECT query_id, p_name AS term FROM hits WHERE k = 1
 """)
 def best_schema_term(spark, d):
@@ -267,10 +267,10 @@ def dedup_first(spark, d):
     return retrieve.first_of_each(table(spark, d, "conversations"), ["conv_id", "role"], ["turn"]).select("conv_id", "role", "turn", "text")
 
 
-@query("SELECT c_custkey AS query_id, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS query_id, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000)")
 def abstain(spark, d):
     asked = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), "c_name")
-    return retrieve.abstained(asked, table(spark, d, "orders").select(F.col("o_custkey").alias("query_id")))
+    return retrieve.abstained(asked, table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_totalprice > 300000").select(F.col("o_custkey").alias("query_id")))
 
 
 @query("""
@@ -396,14 +396,30 @@ def page_figures(spark, d):
     return pages.document_summary(_page_metrics(spark, d))
 
 
-@query(f"""WITH {_PAGE_METRICS}, i AS (SELECT page_number AS p, words + CASE WHEN page_number % 5 = 0 THEN 1 ELSE 0 END AS w, images + CASE WHEN page_number % 7 = 0 THEN 1 ELSE 0 END AS im FROM c WHERE page_number % 11 <> 0)
-SELECT page_number, CASE WHEN p IS NULL THEN 'CONTRADICTION' WHEN im <> images THEN 'CONTRADICTION' ELSE 'OTHER' END AS kind, CASE WHEN p IS NOT NULL THEN CASE WHEN w <> words THEN 'WARNING' ELSE 'CONSISTENT' END END AS word_count, CASE WHEN p IS NOT NULL THEN CASE WHEN im <> images THEN 'CONTRADICTION' ELSE 'CONSISTENT' END END AS image_count FROM c LEFT JOIN i ON p = page_number""")
+_CHECKS = {
+    "page_type": "CASE WHEN i_state <> page_state THEN 'CONTRADICTION' ELSE 'CONSISTENT' END",
+    "character_count": "'CONSISTENT'",
+    "word_count": "CASE WHEN i_words <> words THEN 'WARNING' ELSE 'CONSISTENT' END",
+    "block_count": "CASE WHEN abs(i_blocks - blocks) > 10 THEN 'WARNING' ELSE 'CONSISTENT' END",
+    "image_count": "CASE WHEN i_images <> images THEN 'CONTRADICTION' ELSE 'CONSISTENT' END",
+    "drawing_count": "CASE WHEN i_drawings <> drawings THEN 'CONTRADICTION' ELSE 'CONSISTENT' END",
+    "vector_class": "CASE WHEN vector_complexity <> CASE WHEN i_drawings < 100 THEN 'LOW' WHEN i_drawings < 500 THEN 'MEDIUM' WHEN i_drawings < 2000 THEN 'HIGH' ELSE 'EXTREME' END THEN 'CONTRADICTION' ELSE 'CONSISTENT' END",
+    "image_class": "CASE WHEN image_complexity <> CASE WHEN i_images = 0 THEN 'NONE' WHEN i_images <= 3 THEN 'LOW' WHEN i_images <= 5 THEN 'MEDIUM' ELSE 'HIGH' END THEN 'CONTRADICTION' ELSE 'CONSISTENT' END",
+}
+
+
+@query(f"""WITH {_PAGE_METRICS}, i AS (SELECT page_number AS p, words + CASE WHEN page_number % 5 = 0 THEN 1 ELSE 0 END AS i_words, images + CASE WHEN page_number % 7 = 0 THEN 1 ELSE 0 END AS i_images,
+  drawings + CASE WHEN page_number % 13 = 0 THEN 100 ELSE 0 END AS i_drawings, blocks + page_number % 21 AS i_blocks, characters AS i_characters FROM c WHERE page_number % 11 <> 0)
+, s AS (SELECT *, CASE WHEN i_characters = 0 AND i_images = 0 THEN 'EMPTY' WHEN i_characters = 0 THEN 'IMAGE_ONLY' WHEN i_images > 0 THEN 'MIXED_TEXT_IMAGE' ELSE 'TEXT_ONLY' END AS i_state FROM c LEFT JOIN i ON p = page_number)
+, k AS (SELECT page_number, p, {", ".join(f"{v} AS {n}" for n, v in _CHECKS.items())} FROM s)
+SELECT page_number, {", ".join(f"CASE WHEN p IS NOT NULL THEN {n} END AS {n}" for n in _CHECKS)}, CASE WHEN p IS NULL OR 'CONTRADICTION' IN ({", ".join(_CHECKS)}) THEN 'CONTRADICTION' ELSE 'OTHER' END AS kind FROM k""")
 def reconcile(spark, d):
     own = _page_metrics(spark, d)
     n = F.col("page_number")
-    other = own.filter(n % 11 != 0).withColumn("words", F.col("words") + (n % 5 == 0).cast("int")).withColumn("images", F.col("images") + (n % 7 == 0).cast("int"))
+    changed = {"words": (n % 5 == 0).cast("int"), "images": (n % 7 == 0).cast("int"), "drawings": (n % 13 == 0).cast("int") * 100, "blocks": n % 21}
+    other = own.filter(n % 11 != 0).withColumns({c: F.col(c) + more for c, more in changed.items()})
     found = pages.reconcile(pages.classify(own), other)
-    return found.select("page_number", F.when(F.col("overall_status") == "CONTRADICTION", "CONTRADICTION").otherwise("OTHER").alias("kind"), "word_count", "image_count")
+    return found.select("page_number", *_CHECKS, F.when(F.col("overall_status") == "CONTRADICTION", "CONTRADICTION").otherwise("OTHER").alias("kind"))
 
 
 @query("""
@@ -432,6 +448,56 @@ def normalise_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.norm_search("text").alias("search"), F.size(tx.search_tokens("text")).cast("long").alias("tokens"))
 
 
+@query(r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS one,
+  trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) AS chunk FROM t)
+SELECT doc_id, sha256(lower(one)) AS parser_sha256, sha256(lower(one)) AS query_sha256, sha256(chunk) AS chunk_sha256, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words,
+  chunk = '' OR (length(chunk) <= 8 AND len(regexp_extract_all(chunk, '[A-Za-z]')) <= 3) AS noise, regexp_matches(chunk, '(?i)^(Page\s+\d+\s+of\s+\d+|Rev\.?\s*No\.?\s*\d+|TC\s*\d+)$') AS label
+FROM c
+""")
+def document_text_rules(spark, d):
+    own = spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    digest = lambda c: F.sha2(c, 256)
+    return own.select("doc_id", digest(tx.norm_parser("text")).alias("parser_sha256"), digest(tx.norm_query("text")).alias("query_sha256"), digest(tx.clean_chunk("text")).alias("chunk_sha256"), tx.count_words("text").cast("long").alias("words"), tx.layout_noise("text").alias("noise"), tx.page_label("text").alias("label"))
+
+
+@query(f"""WITH {_PAGE_METRICS}, given AS (SELECT page_number AS p, CASE WHEN page_number % 3 = 0 THEN 'MIXED_TEXT_IMAGE' ELSE page_state END AS g_state, CASE WHEN page_number % 4 = 0 THEN 'LOW' ELSE text_complexity END AS g_text FROM c WHERE page_number % 10 <> 0)
+SELECT page_number, 'page' AS field, 'present' AS expected, 'missing' AS actual FROM c WHERE page_number % 10 = 0
+UNION ALL SELECT page_number, 'page_state', page_state, g_state FROM c JOIN given ON p = page_number AND g_state <> page_state
+UNION ALL SELECT page_number, 'text_complexity', text_complexity, g_text FROM c JOIN given ON p = page_number AND g_text <> text_complexity""")
+def page_rederive(spark, d):
+    own = _page_metrics(spark, d)
+    n = F.col("page_number")
+    given = pages.classify(own).filter(n % 10 != 0)
+    given = given.withColumn("page_state", F.when(n % 3 == 0, "MIXED_TEXT_IMAGE").otherwise(F.col("page_state"))).withColumn("text_complexity", F.when(n % 4 == 0, "LOW").otherwise(F.col("text_complexity")))
+    return pages.rederive(own, given)
+
+
+@query("""
+WITH p AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS parent, string_split(p_name, ' ')[1] AS child FROM part)
+SELECT 'parameter' AS kind, parent AS value, CAST(NULL AS VARCHAR) AS parent, 1 AS n_tokens FROM (SELECT DISTINCT parent FROM p) UNION ALL SELECT 'sub_parameter', child, parent, 1 FROM p
+UNION ALL SELECT 'section', p_type, NULL, CAST(len(string_split(p_type, ' ')) AS INTEGER) FROM (SELECT DISTINCT p_type FROM part) UNION ALL SELECT 'side', unnest(['inlet', 'outlet']), NULL, 1
+""")
+def schema_terms(spark, d):
+    return catalog.schema_terms(_part_records(spark, d)).select("kind", "value", "parent", F.col("n_tokens").cast("int").alias("n_tokens"))
+
+
+@query("""
+WITH q AS (SELECT p_partkey AS query_id, string_split(p_name, ' ')[1] AS w1, string_split(p_name, ' ')[2] AS w2 FROM part), h AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS parent, string_split(p_name, ' ')[1] AS child FROM part)
+, direct AS (SELECT query_id, w1, w2, greatest(CASE WHEN w1 IN (SELECT parent FROM h) THEN length(w1) ELSE 0 END, CASE WHEN w2 IN (SELECT parent FROM h) THEN length(w2) ELSE 0 END) AS longest FROM q)
+, named AS (SELECT *, CASE WHEN longest > 0 THEN (SELECT min(x) FROM (SELECT unnest([w1, w2]) AS x) WHERE length(x) = longest AND x IN (SELECT parent FROM h)) END AS parameter FROM direct)
+, hits AS (SELECT query_id, parent, child, row_number() OVER (PARTITION BY query_id ORDER BY length(child) DESC, parent, child) AS k FROM named JOIN h ON child IN (w1, w2) AND (parameter IS NULL OR parameter = parent))
+SELECT query_id, coalesce(parameter, parent) AS parameter, child AS sub_parameter FROM named LEFT JOIN hits USING (query_id) WHERE coalesce(k, 1) = 1
+""")
+def schema_resolution(spark, d):
+    own = _part_records(spark, d)
+    terms = cut(catalog.schema_terms(own), "terms")
+    asked = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("what is "), F.element_at(F.split("p_name", " "), 1), F.lit(" of "), F.element_at(F.split("p_name", " "), 2)).alias("query"))
+    none = spark.createDataFrame([], "norm string, parameter string")
+    found = questions.understand(asked, terms, none.select("norm"), none, none.select("parameter"), repair=False)
+    return found.select("query_id", "parameter", "sub_parameter")
+
+
 @query()
 def chunk_pack(spark, d):
     own = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(layout.split_text("text")).alias("part", "content"))

@@ -174,3 +174,51 @@ def test_more_than_ten_thousand_short_terms_all_match(spark):
     queries = spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(own)] + [(-1, "z"), (-2, ""), (-3, "a"), (-4, None)], "query_id long, q string")
     got = {r.query_id: r.hit for r in questions.contained(queries, terms, "q", "norm", "hit").collect()}
     assert got == dict(enumerate(own)) | {-1: "z", -2: None, -3: None, -4: None}
+
+
+def schema_frame(spark, rows):
+    columns = "record_id string, ord long, page int, table_id string, row_number int, item string, section string, subsection string, parameter string, sub_parameter string, sub_sub_parameter string, side string, values map<string,string>, values_json map<string,string>"
+    made = [(f"r{k}", k, 1, "t", k, None, section, subsection, parameter, child, None, None, {"value": "1"}, {"value": "1"}) for k, (parameter, child, section, subsection) in enumerate(rows)]
+    return cut(spark.createDataFrame(made, columns))
+
+
+def understood(spark, recs, *texts):
+    none = spark.createDataFrame([], "norm string, parameter string")
+    found = questions.understand(asked(spark, *texts), cut(catalog.schema_terms(recs)), none.select("norm"), none, none.select("parameter"))
+    return {r.query_id: (r.parameter, r.sub_parameter, r.section) for r in found.collect()}
+
+
+def test_equal_terms_go_to_the_first_and_children_to_the_parent_asked_for(spark):
+    own = schema_frame(spark, [("Gamma Two", None, None, None), ("Alpha One", None, None, None), ("Aaa Type", "Range", "BIG HALL", None), ("Zzz Type", "Range", None, None), ("Other", "Lower Range", None, None)])
+    got = understood(spark, own, "alpha one gamma two", "aaa type range", "zzz type range", "range", "alpha one lower range", "aaa-type of big/hall", "lower - range")
+    assert got[0][0] == "Alpha One"
+    assert got[1][:2] == ("Aaa Type", "Range") and got[2][:2] == ("Zzz Type", "Range")
+    assert got[3][:2] == ("Zzz Type", "Range")  # the repair takes a child's last parent
+    assert got[4][:2] == ("Alpha One", None)  # a parameter that is named keeps no child of another
+    assert got[5] == ("Aaa Type", None, "BIG HALL") and got[6][:2] == ("Other", "Lower Range")
+
+
+def test_fragments_have_sections_of_their_own(spark, recs):
+    own = schema_frame(spark, [("Flow", None, "STEAM CONDITIONS", "INLET SIDE"), ("Flow", None, "HOT STEAM", "OUTLET AND INLET PART"), ("Flow", None, "COLD WATER", None)])
+    q = asked(spark, "steam flow, flow of cold water and hot steam pressure, material code, inlet flow, flow at the inlet side")
+    got = {r.intent_index: (r.q_section, r.q_subsection) for r in questions.parse_intents(questions.split_intents(q), own).collect()}
+    assert got == {0: ("STEAM CONDITIONS", None), 1: ("COLD WATER", None), 2: ("HOT STEAM", None), 3: (None, None), 4: (None, "OUTLET AND INLET PART"), 5: (None, "OUTLET AND INLET PART")}
+
+
+def test_questions_about_an_item_are_split(spark, recs, posted, known):
+    terms, items, entries, fields, values = known
+    q = asked(spark, "What is the inlet line size and material code of UNIT-2A?", "press of UNIT-5A")
+    intents = questions.unknown_identifier(questions.understand(q, terms, items, entries, fields), fields)
+    hits, _ = questions.adapter_search(intents, recs, posted, values, schema=(terms, items, entries, fields))
+    assert ids(hits) == {0: ["p02_r8_inlet", "p02_r58"], 1: ["p05_r30"]}
+
+
+def test_bm25_in_blocks_and_without_documents(spark, posted, monkeypatch):
+    q = asked(spark, "flow of unit-3a", "material unit-7a", "zzz").withColumn("terms", tx.search_tokens("query"))
+    whole = ids(retrieve.bm25(posted, q, 7))
+    bare = ids(retrieve.bm25(posted, q, 7, fill=False))
+    assert 2 not in bare and all(whole[k][: len(bare[k])] == bare[k][:7] for k in bare)
+    monkeypatch.setattr(retrieve, "BM25_ENTRIES", 2)
+    monkeypatch.setattr(retrieve, "BM25_CELLS", 16)
+    assert ids(retrieve.bm25(posted, q, 7)) == whole
+    assert retrieve.bm25(posted.limit(0), q, 7).collect() == [] and retrieve.bm25(posted, q.limit(0), 7).collect() == []

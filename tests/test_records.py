@@ -116,3 +116,12 @@ def test_record_files_with_any_root(spark, tmp_path):
     found = datasets.read_by_page(spark, f"file://{tmp_path}/page_*.json", spark.createDataFrame([(3,), (4,)], "page_number int"))
     assert {r.page_number: r.found for r in found.collect()} == {3: True, 4: False}
     assert len(datasets.read_binary_hashes(spark, f"file://{tmp_path}/0.json").first().sha256) == 64
+
+
+def test_emptiness_of_deep_objects(spark):
+    deep = lambda leaf, n=6: "".join(f'{{"k{k}": ' for k in range(n)) + leaf + "}" * n
+    empty = [None, "null", '""', '" \\n "', "[ ]", "{}", deep("null"), deep('""'), deep('{"a": [], "b": "\\t"}'), '{"a b": null, "": {"x": ""}}']
+    full = ["0", "false", '"x"', "[null]", deep("0"), deep('"a\\" "'), deep("[{}]"), '{"a": null, "b": {"c": "null"}}', '{"null": "1"}']
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(empty + full)], "k int, t string")
+    got = {r.k: r.e for r in rows.select("k", records.json_empty(F.col("t")).alias("e")).collect()}
+    assert [got[k] for k in range(len(got))] == [True] * len(empty) + [False] * len(full)
