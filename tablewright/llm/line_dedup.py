@@ -63,15 +63,15 @@ def suffix_levels(lines: DataFrame, depth: int, every: bool = False) -> list[tup
     return found
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS, every_length: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS, every_length: bool = True) -> DataFrame:
     """Delete the later copies of repeated runs of lines.
 
     Lines are parted by line feeds. A run of lines is a copy if it occurs earlier, in the order of
-    identifier and position, in the same or another document. Copies of ``least_lines`` lines (a power of
-    two), and copies of 1, 2, 4 .. lines with at least ``least_words`` words, are deleted; longer copies
-    are unions of such ones, so sorting suffixes by their first ``least_lines`` lines settles the result.
-    With ``every_length``, copies of 1, 2, 3 .. lines with at least ``least_words`` words are, so a run of 3
-    lines goes even if no 2 of its lines have the words, and ``least_lines`` may be any number.
+    identifier and position, in the same or another document. Copies of ``least_lines`` lines, and shorter copies with
+    at least ``least_words`` words, are deleted; longer copies are unions of such ones, so sorting suffixes by their
+    first ``least_lines`` lines settles the result. Suffixes are sorted by their first 1, 2, 3 .. lines, each length from the one before.
+    Without ``every_length`` they are by 1, 2, 4 .. lines, ``least_lines`` must be a power of two, and a run of
+    3 lines goes only if 2 of its lines have the words.
 
     Returns one row per row: ``doc_id``, ``n_lines``, ``n_removed``, ``n_runs`` (maximal deleted runs),
     ``longest_run``, ``text`` (the lines left, joined by line feeds). A null text is one empty line. Null
@@ -114,12 +114,6 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("text", 256).alias("text_sha256"))
 
 
-def op6_line_dedup_every_length(spark, sf_dir: str) -> DataFrame:
-    """As ``op6_line_dedup``, but copied runs of 3 lines are looked for too."""
-    found = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), every_length=True)
-    return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("text", 256).alias("text_sha256"))
-
-
 SQL = r"""
 WITH docs AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -127,7 +121,7 @@ WITH docs AS (
   SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM docs
 ), windows AS (
   SELECT doc_id, p, h, array_to_string(ls[p:p + h - 1], chr(10)) AS s
-  FROM places, (VALUES (1), (2), (4)) v(h) WHERE p + h - 1 <= len(ls)
+  FROM places, (VALUES (1), (2), (3), (4)) v(h) WHERE p + h - 1 <= len(ls)
 ), marked AS (
   SELECT doc_id, p, h, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS w,
          row_number() OVER (PARTITION BY h, s ORDER BY doc_id, p) AS k
@@ -145,5 +139,3 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_r
        sha256(coalesce(text, '')) AS text_sha256
 FROM docs LEFT JOIN runs USING (doc_id) LEFT JOIN rest USING (doc_id)
 """
-
-EVERY_LENGTH_SQL = SQL.replace("(VALUES (1), (2), (4))", "(VALUES (1), (2), (3), (4))")

@@ -15,12 +15,10 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_language_id": langid.op10_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
-    "op6_line_dedup_every_length": line_dedup.op6_line_dedup_every_length,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
-    "op6_line_dedup_every_length": line_dedup.EVERY_LENGTH_SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
 }

@@ -48,7 +48,7 @@ def corpus(seed):
 def test_deletions_match_brute_force(spark, least_lines, least_words):
     docs = corpus(least_lines)
     frame = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in docs], SCHEMA).repartition(4)
-    got = line_dedup(frame, least_lines=least_lines, least_words=least_words)
+    got = line_dedup(frame, least_lines=least_lines, least_words=least_words, every_length=False)
     assert sorted(map(tuple, got.collect())) == brute(docs, least_lines, least_words)
 
 
@@ -69,7 +69,7 @@ def test_edge_rows(spark):
     assert sorted(((r.doc_id or 0, r.n_removed, r.text) for r in line_dedup(docs).collect())) == [(0, 0, long), (4, 1, ""), (4, 1, ""), (5, 1, "more")]
     assert line_dedup(docs.limit(0)).collect() == []
     with pytest.raises(ValueError):
-        line_dedup(docs, least_lines=3)
+        line_dedup(docs, least_lines=3, every_length=False)
 
 
 def test_every_length_finds_runs_of_three_lines(spark):
