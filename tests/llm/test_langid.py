@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -65,3 +66,50 @@ def test_elastic_net_leaves_useless_features_at_zero():
         labels.append(y)
     weights, _, _ = ftrl(rows, np.array(labels), 2, np.ones(256), l1=2.0)
     assert np.abs(weights[:2]).min() > 0 and (weights[2:] == 0).mean() > 0.9
+
+
+def test_training_equals_a_plain_loop():
+    """FTRL with elastic net, coordinate by coordinate; then the temperature of the least loss on the rows held back."""
+    rng = np.random.default_rng(3)
+    size, classes, alpha, beta, l1, l2 = 12, 3, 0.5, 1.0, 0.02, 0.1
+    idf = rng.uniform(1, 3, size)
+    rows, labels = [], []
+    for _ in range(60):
+        label = int(rng.integers(classes))
+        at = np.unique(np.append(rng.integers(0, size, 3), label))
+        rows.append((at, rng.integers(1, 5, len(at)).astype(np.uint32)))
+        labels.append(label)
+    got, got_bias, got_heat = ftrl(rows, np.array(labels), classes, idf, epochs=2)
+
+    order = np.random.default_rng(7).permutation(60)
+    back, kept = order[:6], order[6:]
+    z, n = [[0.0] * classes for _ in range(size + 1)], [[0.0] * classes for _ in range(size + 1)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= l1:
+            return 0.0
+        return -(z[i][c] - math.copysign(l1, z[i][c])) / ((beta + math.sqrt(n[i][c])) / alpha + l2)
+
+    def terms(k):
+        total = int(rows[k][1].sum())
+        return {int(i): int(t) * idf[i] * 30.0 / total for i, t in zip(*rows[k], strict=True)} | {size: 1.0}
+
+    def softmax(scores, heat=1.0):
+        top = max(scores)
+        e = [math.exp((s - top) / heat) for s in scores]
+        return [x / sum(e) for x in e]
+
+    for _ in range(2):
+        for k in kept:
+            x = terms(k)
+            w = {(i, c): weight(i, c) for i in x for c in range(classes)}
+            p = softmax([sum(w[i, c] * t for i, t in x.items()) for c in range(classes)])
+            for i, t in x.items():
+                for c in range(classes):
+                    g = t * (p[c] - (labels[k] == c))
+                    z[i][c] += g - (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / alpha * w[i, c]
+                    n[i][c] += g * g
+    want = np.array([[weight(i, c) for c in range(classes)] for i in range(size + 1)])
+    assert np.allclose(got, want[:-1], atol=1e-9) and np.allclose(got_bias, want[-1], atol=1e-9)
+    loss = lambda heat: -sum(math.log(softmax([sum(want[i, c] * t for i, t in terms(k).items()) for c in range(classes)], heat)[labels[k]]) for k in back)
+    assert got_heat == min(np.geomspace(0.25, 8, 41), key=loss)

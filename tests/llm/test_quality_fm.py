@@ -1,9 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 
-from tablewright.llm.quality_fm import FACTORS, FEATURES, STATISTICS, WORD_BUCKETS, Machine, features, fit, op5_quality_classifier, score
+from tablewright.llm.quality_fm import FACTORS, FEATURES, STATISTICS, WORD_BUCKETS, Machine, features, fit, op5_quality_classifier, score, train
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string"
 
@@ -65,3 +66,38 @@ def test_nothing_to_learn_and_empty_tables(spark):
     assert fit(docs, labels.limit(0)) is None and fit(docs.limit(0), labels) is None
     assert {r.score for r in score(docs, None).collect()} == {0.5}
     assert score(docs.limit(0), fit(docs, labels)).collect() == []
+
+
+def test_training_equals_a_plain_loop():
+    """Adagrad on the logistic loss, weight by weight with the gradient of the sum over pairs."""
+    texts, labels = ["one two two three", "A b C! | d", "one one", "b 3 | two", "x"], np.array([1, 0, 1, 0, 1])
+    of, bucket, value, stats = features(*offsets_of(texts))
+    rows = [(bucket[of == k], value[of == k], stats[k]) for k in range(len(texts))]
+    got = train(rows, labels, epochs=3, rate=0.1, decay=2e-3, seed=5)
+
+    rng = np.random.default_rng(5)
+    v = {(i, f): x for i, line in enumerate(rng.normal(0, 0.02, (FEATURES, FACTORS))) for f, x in enumerate(line)}
+    w, gw, gv, gb = [0.0] * FEATURES, [1e-2] * FEATURES, dict.fromkeys(v, 1e-2), 1e-2
+    b = math.log(0.6 / 0.4)
+    mean, scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
+    for _ in range(3):
+        for k in rng.permutation(len(rows)):
+            dense = np.clip((stats[k] - mean) / scale, -4, 4) / math.sqrt(len(STATISTICS))
+            x = dict(zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True)) | {WORD_BUCKETS + n: t for n, t in enumerate(dense.tolist())}
+            z = b + sum(w[i] * t for i, t in x.items())
+            at = list(x)
+            z += sum(v[at[i], f] * v[at[j], f] * x[at[i]] * x[at[j]] for i in range(len(at)) for j in range(i + 1, len(at)) for f in range(FACTORS))
+            g = 1 / (1 + math.exp(-z)) - labels[k]
+            total = [sum(v[i, f] * t for i, t in x.items()) for f in range(FACTORS)]
+            dv = {(i, f): g * t * (total[f] - v[i, f] * t) + 2e-3 * v[i, f] for i, t in x.items() for f in range(FACTORS)}
+            gb += g * g
+            b -= 0.1 * g / math.sqrt(gb)
+            for i, t in x.items():
+                d = g * t + 2e-3 * w[i]
+                gw[i] += d * d
+                w[i] -= 0.1 * d / math.sqrt(gw[i])
+            for key, d in dv.items():
+                gv[key] += d * d
+                v[key] -= 0.1 * d / math.sqrt(gv[key])
+    assert abs(got.b - b) < 1e-9 and np.allclose(got.w, w, atol=1e-9)
+    assert np.allclose(got.v, np.array([[v[i, f] for f in range(FACTORS)] for i in range(FEATURES)]), atol=1e-9)
