@@ -51,7 +51,7 @@ def bounded(spark: SparkSession) -> None:
 def whole_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _text) of every row; a null text counts as empty, other columns are left behind."""
     bounded(df.sparkSession)
-    return spread(df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")))
+    return spread(df).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
 
 def carried(df: DataFrame, text_col: str) -> DataFrame:
