@@ -24,7 +24,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SPREAD_BYTES = 64 << 20
+SPREAD_BYTES = 32 << 20
+"""Estimated bytes of a table that one task would read, on a cluster of any size."""
 
 
 def spread(df: DataFrame) -> DataFrame:
