@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -16,14 +17,36 @@ for _b in range(256):
 BLOCK = 1 << 15
 
 
+_BYTES = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
+
+
+def _byte_sums(word: np.ndarray) -> np.ndarray:
+    """Words whose k-th byte counts the set bits of bytes 0 to k of each word."""
+    two = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    four = (two & np.uint64(0x3333333333333333)) + ((two >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    return ((four + (four >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Position of the k-th set bit of each 64-bit word."""
-    parts = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
-    sums = np.cumsum(_ONES[parts], axis=1, dtype=np.int64)
-    at = (sums <= k[:, None]).sum(axis=1)
-    rows = np.arange(len(at))
-    before = np.where(at > 0, sums[rows, np.maximum(at - 1, 0)], 0)
-    return 8 * at + _NTH[parts[rows, at], k - before]
+    k = k.astype(np.uint64)
+    sums = _byte_sums(word)
+    full = ((k * _BYTES | _TOPS) - sums) & _TOPS  # bytes that end before the bit
+    at = ((full >> np.uint64(7)) * _BYTES) >> np.uint64(56) << np.uint64(3)
+    before = (sums << np.uint64(8)) >> at & np.uint64(255)
+    return at.astype(np.int64) + _NTH[(word >> at) & np.uint64(255), k - before]
+
+
+def search(value: Callable[[np.ndarray], np.ndarray], lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Index of the first element of each range [lo, hi) that is not below ``want``; hi if there is none. Elements rise within a range."""
+    lo, hi = lo.copy(), hi.copy()
+    while (live := np.flatnonzero(lo < hi)).size:
+        mid = (lo[live] + hi[live]) >> 1
+        less = value(mid) < want[live]
+        lo[live] = np.where(less, mid + 1, lo[live])
+        hi[live] = np.where(less, hi[live], mid)
+    return lo
 
 
 class EliasFano:
@@ -96,29 +119,30 @@ class EliasFano:
         place = 64 * word + _select_in_word(~self.upper[word], k - self.zeros[word].astype(np.int64))
         return np.where(high > 0, place - k, 0)
 
+    def _range(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which of ``x`` are in the range of the high parts, the elements that share their high part, and their low bits."""
+        high = x >> np.uint64(self.low_bits)
+        at = np.flatnonzero(high < np.uint64(64 * len(self.upper) - self.n - 1))
+        high = high[at].astype(np.int64)
+        return at, self._before(high), self._before(high + 1), x[at] & np.uint64((1 << self.low_bits) - 1)
+
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first element that is not below each x; n if there is none."""
         if not self.n or not len(x):
             return np.zeros(len(x), np.int64)
-        x = np.asarray(x, np.uint64)
-        high = x >> np.uint64(self.low_bits)
         out = np.full(len(x), self.n, np.int64)
-        at = np.flatnonzero(high < np.uint64(64 * len(self.upper) - self.n - 1))
-        high = high[at].astype(np.int64)
-        lo, hi = self._before(high), self._before(high + 1)
-        want = x[at] & np.uint64((1 << self.low_bits) - 1)
-        while (live := np.flatnonzero(lo < hi)).size:
-            mid = (lo[live] + hi[live]) >> 1
-            less = self.lows(mid) < want[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-        out[at] = lo
+        at, lo, hi, want = self._range(np.asarray(x, np.uint64))
+        out[at] = search(self.lows, lo, hi, want)
         return out
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of an element equal to each x, else -1."""
-        at = self.successor(x)
-        hit = at < self.n
-        good = np.zeros(len(at), bool)
-        good[hit] = self.get(at[hit]) == np.asarray(x, np.uint64)[hit]
-        return np.where(good, at, -1)
+        """Index of the first element equal to each x, else -1."""
+        out = np.full(len(x), -1, np.int64)
+        if not self.n or not len(x):
+            return out
+        at, lo, hi, want = self._range(np.asarray(x, np.uint64))
+        lo = search(self.lows, lo, hi, want)
+        hit = np.flatnonzero(lo < hi)
+        hit = hit[self.lows(lo[hit]) == want[hit]]
+        out[at[hit]] = lo[hit]
+        return out

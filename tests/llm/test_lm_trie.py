@@ -4,12 +4,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tablewright.llm.elias_fano import EliasFano
-from tablewright.llm.lm_trie import LEVELS, STRENGTH, build, lm_score, op7_lm_scoring, quantised
+from tablewright.llm.lm_trie import DEEP_STRENGTH, LEVELS, ORDER, PROBABILITIES, STRENGTH, build, lm_score, narrow, op7_lm_scoring, quantised, quantised_probability, widened
 
 
 @settings(max_examples=150, deadline=None)
@@ -32,24 +33,42 @@ def test_quantiser():
     assert (np.abs(LEVELS[quantised(big)] / big - 1) < 0.08).all()
 
 
+def test_probabilities_and_narrow_numbers():
+    p = np.geomspace(2e-9, 1, 900)
+    assert (np.abs(PROBABILITIES[quantised_probability(p)] / p - 1) < 0.05).all() and quantised_probability(np.array([1e-12]))[0] == 1
+    for values in ([], [1, 2, 3], [255, 0, 70_000, 254, 4_000_000_000], [256] * 9):
+        raw = pa.py_buffer(narrow(np.array(values, np.int64)))
+        assert widened(raw, len(values)).tolist() == values
+
+
 def split(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split() + [None]
 
 
-def brute(train, docs):
-    uni, bi = Counter(), Counter()
+def brute(train, docs, order=2, deep=DEEP_STRENGTH):
+    grams = [Counter() for _ in range(order)]
     for t in train:
         w = split(t)
-        uni.update(w)
-        bi.update(zip(w, w[1:], strict=False))
-    n, v = sum(uni.values()), len(uni)
-    p1 = lambda w: (uni[w] + 1) / (n + v + 1)
+        for k in range(order):
+            grams[k].update(tuple(w[i : i + k + 1]) for i in range(len(w) - k))
+    n, v = sum(grams[0].values()), len(grams[0])
+    p1 = lambda w: (grams[0][(w,)] + 1) / (n + v + 1)
+    code = lambda c: LEVELS[quantised(np.array([c]))[0]] * (c > 0)
+
+    def p(gram):
+        if len(gram) == 1:
+            return p1(gram[0])
+        if len(gram) == 2:
+            return (code(grams[1][gram]) + STRENGTH * p(gram[1:])) / (grams[0][gram[:1]] + STRENGTH)
+        c, before = grams[len(gram) - 1][gram], grams[len(gram) - 2][gram[:-1]]
+        part = PROBABILITIES[quantised_probability(np.array([c / (before + deep)]))[0]] if c else 0.0
+        return part + deep / (code(before) + deep) * p(gram[1:])
+
     out = []
     for t in docs:
         w = split(t)
-        base = sum(math.log10(p1(x)) for x in w)
-        score = math.log10(p1(w[0])) + sum(math.log10((LEVELS[quantised(np.array([bi[a, b]]))[0]] * (bi[a, b] > 0) + STRENGTH * p1(b)) / (uni[a] + STRENGTH)) for a, b in zip(w, w[1:], strict=False))
-        out.append((len(w), sum(uni[x] > 0 for x in w), n, base, score))
+        score = sum(math.log10(p(tuple(w[max(0, i + 1 - order) : i + 1]))) for i in range(len(w)))
+        out.append((len(w), sum(grams[0][(x,)] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score))
     return out
 
 
@@ -60,14 +79,14 @@ def corpus():
     return docs + [(500, None), (501, ""), (502, "the The\tTHE\r\n\x0b x"), (503, "w1 w2 " * 40000), (503, "w1 w2 " * 40000)]
 
 
-@pytest.mark.parametrize("shard_text", [16 << 20, 20_000])
-def test_scores_match_brute_force(spark, tmp_path, shard_text):
+@pytest.mark.parametrize("shard_text,order", [(16 << 20, 3), (20_000, 3), (20_000, 2), (50_000, 5)])
+def test_scores_match_brute_force(spark, tmp_path, shard_text, order):
     docs = corpus()
     frame = spark.createDataFrame([(d, t, 1.0, 2) for d, t in docs], "doc_id long, text string, score double, n_tokens int").repartition(5)
-    shards = build(frame, f"file://{tmp_path}/m", shard_text=shard_text)
+    shards = build(frame, f"file://{tmp_path}/m", shard_text=shard_text, order=order)
     assert (len(shards) > 10) == (shard_text < 1 << 20)
     got = sorted(lm_score(frame, shards).collect(), key=lambda r: (r.doc_id, r.n_tokens))
-    for r, want in zip(got, brute([t for _, t in docs], [t for _, t in docs]), strict=True):
+    for r, want in zip(got, brute([t for _, t in docs], [t for _, t in docs], order), strict=True):
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
         assert r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], rel=1e-9)
 
@@ -77,7 +96,7 @@ def test_query_learns_from_the_folds_only(spark, tmp_path):
     spark.createDataFrame(docs + [(None, "w1 lone")], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     out = zlib.crc32
     train = [t for d, t in docs if out(str(d).encode()) % 7 != 2] + ["w1 lone"]
-    want = dict(zip([d for d, _ in docs], brute(train, [t for _, t in docs]), strict=True))
+    want = dict(zip([d for d, _ in docs], brute(train, [t for _, t in docs], ORDER), strict=True))
     rows = op7_lm_scoring(spark, str(tmp_path)).collect()
     assert len(rows) == len(docs) + 1
     for r in rows:
@@ -86,6 +105,11 @@ def test_query_learns_from_the_folds_only(spark, tmp_path):
             assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.base_score == pytest.approx(want[r.doc_id][3], rel=1e-9)
 
 
+def test_order_is_two_or_more(spark, tmp_path):
+    with pytest.raises(ValueError):
+        build(spark.createDataFrame(corpus()[:2], "doc_id long, text string"), f"file://{tmp_path}/m", order=1)
+
+
 def test_nothing_learned_and_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame(corpus()[:5], "doc_id long, text string")
     shards = build(docs.limit(0), f"file://{tmp_path}/none")
