@@ -29,8 +29,12 @@ DEEP_STRENGTH = 100.0
 """Pseudo-count of the shorter context's distribution in each longer context."""
 SPLIT = 16
 """Parts of a word's successors; they lie in different shards, so no word's successors fill one."""
-SUCCESSOR_BITS = 40
-DEEP_BITS = 32
+CONTEXT_BITS = 48
+SUCCESSOR_BITS = 32
+DEEP_BITS = 24
+"""Bits kept of the hash of a context's part, a pair's successor and a longer n-gram's. What a false match adds to a probability is 2^-bits at most on average, as the probabilities of a context's successors sum to 1."""
+COUNT_TEXT = 4 << 20
+"""Bytes of text whose n-grams are counted at once, about."""
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 MAGIC = b"EFNGRAM3"
 
@@ -82,7 +86,7 @@ def pairs_of(row: np.ndarray, hashed: np.ndarray) -> np.ndarray:
 
 def context(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """The hash of the part of a context that holds a successor."""
-    return mix(before + (after >> np.uint64(60)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SPLIT))
+    return mix(before + (after >> np.uint64(60)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SPLIT)) >> np.uint64(64 - CONTEXT_BITS)
 
 
 def low_part(after: np.ndarray) -> np.ndarray:
@@ -93,8 +97,33 @@ def deep_part(after: np.ndarray) -> np.ndarray:
     return after & np.uint64((1 << DEEP_BITS) - 1)
 
 
-def shard_of(hashed: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def shard_of(hashed: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:
+    return ((hashed >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def little(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def unpacked(raw: np.ndarray, width: int) -> np.ndarray:
+    """The numbers whose low bytes ``little`` took."""
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = raw.reshape(-1, width)
+    return wide.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], least: int = COUNT_TEXT) -> Iterator[pa.RecordBatch]:
+    """The batches joined until they have ``least`` bytes, so that more n-grams are counted where they are met."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def counted(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,15 +173,15 @@ def shard_bytes(word: np.ndarray, count: np.ndarray, ctx: np.ndarray, successor:
         EliasFano.build(np.concatenate([[0], np.cumsum(count)])).to_bytes(),
         EliasFano.build(ctx[edge] - np.uint64(base[1])).to_bytes(),
         EliasFano.build(np.append(np.flatnonzero(edge), len(ctx))).to_bytes(),
-        padded(deep_part(successor).astype(np.uint32)),
-        padded((successor >> np.uint64(DEEP_BITS)).astype(np.uint8)),
+        padded(successor.astype(np.uint32)),
         padded(quantised(together)),
     ]
     above = together
     for parent, after, both in deep:
         parts += [
             EliasFano.build(np.searchsorted(parent, np.arange(len(above) + 1))).to_bytes(),
-            padded(after.astype(np.uint32)),
+            padded(after.astype(np.uint16)),
+            padded((after >> np.uint64(16)).astype(np.uint8)),
             padded(quantised_probability(both / (above[parent] + strength))),
             padded(quantised(both)) if deep[-1][0] is not parent else b"",
         ]
@@ -175,12 +204,12 @@ class Shard:
         self.contexts, self.at = EliasFano.read(raw, self.at)
         self.pointers, self.at = EliasFano.read(raw, self.at)
         n = int(self.pointers.get(np.array([self.pointers.n - 1]))[0])
-        self.low, self.high, self.codes = take(np.uint32, n), take(np.uint8, n), take(np.uint8, n)
+        self.successors, self.codes = take(np.uint32, n), take(np.uint8, n)
         self.deep = []
         for k in range(levels):
             pointers, self.at = EliasFano.read(raw, self.at)
             n = int(pointers.get(np.array([pointers.n - 1]))[0])
-            self.deep.append((pointers, take(np.uint32, n), take(np.uint8, n), take(np.uint8, n) if k + 1 < levels else None))
+            self.deep.append((pointers, take(np.uint16, n), take(np.uint8, n), take(np.uint8, n), take(np.uint8, n) if k + 1 < levels else None))
 
     def _take(self, raw: memoryview, kind: type, n: int) -> np.ndarray:
         values = np.frombuffer(raw, kind, n, self.at)
@@ -212,16 +241,15 @@ class Shard:
         ok = np.flatnonzero(ctx >= np.uint64(self.context_base))
         own = self.contexts.find(ctx[ok] - np.uint64(self.context_base))
         ok, own = ok[own >= 0], own[own >= 0]
-        value = lambda i: self.low[i].astype(np.uint64) | self.high[i].astype(np.uint64) << np.uint64(DEEP_BITS)
-        rank[ok] = self._find(self.pointers, own, value, successor[ok])
+        rank[ok] = self._find(self.pointers, own, lambda i: self.successors[i], successor[ok].astype(np.uint32))
         hit = rank >= 0
         seen[hit] = LEVELS[self.codes[rank[hit]]]
         return rank, seen
 
     def below(self, level: int, parent: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rank, smoothed probability and, where another level follows, quantised count of the successors of ``parent``."""
-        pointers, low, codes, counts = self.deep[level]
-        rank = self._find(pointers, parent, lambda i: low[i], successor.astype(np.uint32))
+        pointers, low, high, codes, counts = self.deep[level]
+        rank = self._find(pointers, parent, lambda i: low[i] | high[i].astype(np.uint32) << np.uint32(16), successor.astype(np.uint32))
         p, seen, hit = np.zeros(len(rank)), np.zeros(len(rank)), rank >= 0
         p[hit] = PROBABILITIES[codes[rank[hit]]]
         if counts is not None:
@@ -334,7 +362,7 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     names = ["w", "n", "c", "r", "s", "b"] + [f"{x}{k}" for k in range(order - 2) for x in "rsb"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in chunks(batches):
+        for _, data, offsets in chunks(gathered(batches), 2 * COUNT_TEXT):
             row, hashed = tokens(data, offsets)
             word, count = np.unique(hashed, return_counts=True)
             at = pairs_of(row, hashed)
@@ -350,18 +378,18 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 own, above = np.full(len(at), -1, np.int64), len(parent)
                 own[longer] = mine
             cut_w = np.searchsorted(shard_of(word, shards), np.arange(shards + 1))
-            cut_c = np.searchsorted(shard_of(ctx, shards), np.arange(shards + 1))
-            five = np.ascontiguousarray(successor).view(np.uint8).reshape(-1, 8)[:, :5]
+            cut_c = np.searchsorted(shard_of(ctx, shards, CONTEXT_BITS), np.arange(shards + 1))
+            deep = [(pointers, little(after, 3), sums) for pointers, after, sums in deep]
             out = []
             for s in range(shards):
                 a, b, c, d = cut_w[s], cut_w[s + 1], cut_c[s], cut_c[s + 1]
                 if b > a or d > c:
                     starts = np.flatnonzero(np.concatenate([[True], ctx[c + 1 : d] != ctx[c : d - 1]])) if d > c else np.zeros(0, np.int64)
-                    parts = [s, word[a:b].tobytes(), narrow(count[a:b]), ctx[c:d][starts].tobytes(), narrow(np.diff(np.append(starts, d - c))), five[c:d].tobytes(), narrow(both[c:d])]
+                    parts = [s, word[a:b].tobytes(), narrow(count[a:b]), little(ctx[c:d][starts], 6).tobytes(), narrow(np.diff(np.append(starts, d - c))), successor[c:d].astype(np.uint32).tobytes(), narrow(both[c:d])]
                     for pointers, after, sums in deep:
                         runs = np.diff(pointers[c : d + 1])
                         c, d = pointers[c], pointers[d]
-                        parts += [narrow(runs), after[c:d].astype(np.uint32).tobytes(), narrow(sums[c:d])]
+                        parts += [narrow(runs), after[c:d].tobytes(), narrow(sums[c:d])]
                     out.append(parts)
             yield pa.record_batch([pa.array([o[k] for o in out], pa.binary() if k else pa.int64()) for k in range(len(names) + 1)], names=["shard", *names])
 
@@ -373,15 +401,13 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             return np.concatenate([widened(x.as_buffer(), len(y.as_buffer()) // width) for x, y in zip(table.column(name), table.column(of), strict=True)])
 
         word, _, count, _ = counted(w := gather("w", np.uint64), np.zeros(len(w), np.uint8), numbers("n", "w", 8))
-        wide = np.zeros((len(five := gather("s", np.uint8).reshape(-1, 5)), 8), np.uint8)
-        wide[:, :5] = five
-        ctx = np.repeat(gather("c", np.uint64), numbers("r", "c", 8))
-        ctx, successor, both, own = counted(ctx, wide.view(np.uint64).reshape(-1), numbers("b", "s", 5))
-        deep, above, width = [], "s", 5
+        ctx = np.repeat(unpacked(gather("c", np.uint8), 6), numbers("r", "c", 6))
+        ctx, successor, both, own = counted(ctx, gather("s", np.uint32).astype(np.uint64), numbers("b", "s", 4))
+        deep, above, width = [], "s", 4
         for k in range(order - 2):
-            parent, after, sums, own = deeper(np.repeat(own, numbers(f"r{k}", above, width)), gather(f"s{k}", np.uint32).astype(np.uint64), numbers(f"b{k}", f"s{k}", 4))
+            parent, after, sums, own = deeper(np.repeat(own, numbers(f"r{k}", above, width)), unpacked(gather(f"s{k}", np.uint8), 3), numbers(f"b{k}", f"s{k}", 3))
             deep.append((parent, after, sums))
-            above, width = f"s{k}", 4
+            above, width = f"s{k}", 3
         return pa.table({"shard": pa.array([shard_bytes(word, count, ctx, successor, both, deep, deep_strength)], pa.binary())})
 
     sent = rows.mapInArrow(emit, ", ".join(["shard long"] + [f"{n} binary" for n in names]))
