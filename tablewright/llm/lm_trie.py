@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.elias_fano import EliasFano, search
 from tablewright.llm.langid import held_out
-from tablewright.llm.shared import chunks, mix, shared_dir, span_hashes, whole_texts, words
+from tablewright.llm.shared import chunks, mix, released, shared_dir, span_hashes, whole_texts, words
 
 SHARD_TEXT = 8 << 20
 """Bytes of training text whose n-grams make one shard, on average; the number of shards follows the corpus."""
@@ -410,7 +410,7 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             above, width = f"s{k}", 3
         return pa.table({"shard": pa.array([shard_bytes(word, count, ctx, successor, both, deep, deep_strength)], pa.binary())})
 
-    sent = rows.mapInArrow(emit, ", ".join(["shard long"] + [f"{n} binary" for n in names]))
+    sent = rows.mapInArrow(released(emit), ", ".join(["shard long"] + [f"{n} binary" for n in names]))
     made = sent.groupBy("shard").applyInArrow(make, "shard binary").select(F.col("shard").cast("string").alias("value"))
     made.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path")
