@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +69,40 @@ def full_query_hit(golden: DataFrame, intents: DataFrame, hits: DataFrame, k: in
 
 def exact_sets(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def as_percent(c: Column | str, digits: int = 2) -> Column:
+    """A share as text, such as 66.67%."""
+    share = F.col(c) if isinstance(c, str) else c
+    return F.concat(F.format_string(f"%.{digits}f", share.cast("double") * 100), F.lit("%"))
+
+
+class Report(NamedTuple):
+    """What ``report`` returns: metrics per query, means by category as numbers and as percent texts, failed queries."""
+
+    scores: DataFrame
+    means: DataFrame
+    percent: DataFrame
+    failures: DataFrame
+
+
+def report(golden: DataFrame, hits: DataFrame, ks: tuple[int, ...] = KS, empty: str = "match", digits: int = 2) -> Report:
+    """The whole evaluation of one retriever's ``hits`` against ``golden`` in one batch.
+
+    A query fails if an expected record is missing, or if it expects none and some came back; what was expected and what came, in order, is listed.
+    """
+    scores = metrics(golden, hits, ks, empty)
+    names = [c for c in scores.columns if c not in ("query_id", "category", "returned", "found")]
+    means = by_category(scores, names)
+    one = hits.groupBy("query_id", "record_id").agg(F.min("rank").alias("rank"))
+    came = one.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "record_id"))), lambda r: r["record_id"]).alias("got"))
+    size = F.size(F.array_distinct("expected"))
+    failed = ((size > 0) & (F.col("found") < size)) | ((size == 0) & (F.col("returned") > 0))
+    failures = scores.select("query_id", "found", "returned").join(golden, "query_id").filter(failed).join(came, "query_id", "left")
+    return Report(scores, means, means.select("category", "queries", *[as_percent(n, digits).alias(n) for n in names]), failures.select("query_id", "category", "expected", F.coalesce("got", F.array().cast("array<string>")).alias("got")))
+
+
+def write_report(found: Report, path: str) -> None:
+    """Write the parts of a report as JSON below ``path``."""
+    for name, part in found._asdict().items():
+        part.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")

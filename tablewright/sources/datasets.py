@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The schema name and keys of dataset files.
 DATASET_NAME = "complex-table-rag-dataset"
 ROOT_KEYS = ("schema", "dataset", "pages")
 PAGE_KEYS = ("page", "table_id", "title", "equipment", "row_count", "rows", "notes")
@@ -58,7 +59,7 @@ def dataset_statistics(files: DataFrame) -> DataFrame:
     return sizes.select("path", "pages", F.col("pages").alias("tables"), "rows")
 
 
-def dataset_violations(files: DataFrame) -> DataFrame:
+def dataset_violations(files: DataFrame, schema_name: str = DATASET_NAME) -> DataFrame:
     """(path, rule, page_pos, row_pos, message) of every broken rule; nothing is raised."""
     root = dataset(files)
     keys = _keys(F.col("json"))
@@ -81,7 +82,7 @@ def dataset_violations(files: DataFrame) -> DataFrame:
             broken(root, "root_object", F.json_object_keys("json").isNull(), "the root is not an object"),
             broken(root, "root_keys", F.size(F.array_except(F.array(*[F.lit(k) for k in ROOT_KEYS]), keys)) > 0, F.concat(F.lit("missing root keys: "), F.array_join(F.array_except(F.array(*[F.lit(k) for k in ROOT_KEYS]), keys), ", "))),
             broken(root, "schema_object", ~kind("json", "schema").startswith("OBJECT"), "schema is not an object"),
-            broken(root, "schema_name", F.col("root.schema.name") != DATASET_NAME, "unknown schema name"),
+            broken(root, "schema_name", F.col("root.schema.name") != schema_name, "unknown schema name"),
             broken(root, "pages_list", ~kind("json", "pages").startswith("ARRAY"), "pages is not a list"),
             broken(root, "pages_empty", count == 0, "there are no pages"),
             broken(pages, "page_keys", F.size(lacks(F.col("page_json"), PAGE_KEYS)) > 0, F.concat(F.lit("missing page keys: "), F.array_join(lacks(F.col("page_json"), PAGE_KEYS), ", ")), page=True),
@@ -116,3 +117,39 @@ def read_by_page(spark: SparkSession, pattern: str, wanted: DataFrame, page_col:
 def read_binary_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files of any kind."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def file_violations(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """(path, rule) of files that cannot be read as a dataset: ``missing`` where nothing is there, ``suffix``, ``utf8``, ``root_object``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path) if _exists(spark, path) else None
+    if files is None:
+        return spark.createDataFrame([(path, "missing")], "path string, rule string")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    rules = {
+        "suffix": ~F.endswith(F.lower("path"), F.lit(suffix)),
+        "utf8": text.isNull(),
+        "root_object": F.endswith(F.lower("path"), F.lit(suffix)) & text.isNotNull() & F.json_object_keys(text).isNull(),
+    }
+    return files.select("path", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()]))).alias("rule"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern meets any file, on any file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
+def artifact_violations(catalogue: DataFrame, index: DataFrame, records: DataFrame) -> DataFrame:
+    """(rule) of artifacts (``json``, one row each) of a wrong shape: catalogue and index must be objects, records a list, or an object with one, not empty."""
+    listed = F.coalesce(*[F.get_json_object("json", f"$.{k}") for k in ("records", "retrieval_records")], F.when(F.startswith(F.ltrim("json"), F.lit("[")), F.col("json")))
+    size = F.json_array_length(listed)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            catalogue.filter(F.json_object_keys("json").isNull()).select(F.lit("catalogue_object").alias("rule")),
+            index.filter(F.json_object_keys("json").isNull()).select(F.lit("index_object").alias("rule")),
+            records.filter(size.isNull()).select(F.lit("records_list").alias("rule")),
+            records.filter(size == 0).select(F.lit("records_empty").alias("rule")),
+        ],
+    )
