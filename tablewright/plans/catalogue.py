@@ -498,7 +498,26 @@ def schema_resolution(spark, d):
     return found.select("query_id", "parameter", "sub_parameter")
 
 
-@query()
+def _clean_sql(text: str) -> str:
+    plain = f"replace(replace(replace({text}, chr(160), ' '), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    lines = f"regexp_replace(regexp_replace(regexp_replace({plain}, '[ \\t]+', ' ', 'g'), '\\n[ \\t]+', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace({lines}, '^[\\s\\pZ\\x0B\\x85]+|[\\s\\pZ\\x0B\\x85]+$', '', 'g')"
+
+
+def _packed_sql(parts: str, separator: str) -> str:
+    """Texts joined greedily up to 1800 characters; the ones that are full are parted by a control character."""
+    return f"string_split(list_reduce({parts}, lambda a, x: a || CASE WHEN length(split_part(a, chr(30), -1)) + length({separator}) + length(x) > 1800 THEN chr(30) ELSE {separator} END || x), chr(30))"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_clean_sql("coalesce(text, '')")} AS t FROM documents)
+, paragraphs AS (SELECT doc_id, t, list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda p: {_clean_sql("p")}), lambda p: p <> '') AS ps FROM d WHERE t <> '')
+, pieces AS (SELECT doc_id, CASE WHEN length(t) <= 1800 THEN [t] ELSE {_packed_sql("ps", "(chr(10) || chr(10))")} END AS xs FROM paragraphs)
+, one AS (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM pieces)
+, chunks AS (SELECT doc_id, i, CASE WHEN length(x) <= 1800 THEN [x] ELSE {_packed_sql("string_split(regexp_replace(x, '([.!?])[\\x09-\\x0D ]+', '\\1' || chr(31), 'g'), chr(31))", "' '")} END AS cs FROM one)
+, listed AS (SELECT doc_id, i, unnest(cs) AS content, generate_subscripts(cs, 1) AS j FROM chunks)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS part, length(content) AS characters, sha256(content) AS content_sha256 FROM listed
+""".replace("\\\\", "\\"))
 def chunk_pack(spark, d):
     own = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(layout.split_text("text")).alias("part", "content"))
     return own.select("doc_id", F.col("part").cast("long").alias("part"), F.length("content").cast("long").alias("characters"), F.sha2("content", 256).alias("content_sha256"))
@@ -511,3 +530,20 @@ def multi_intent_search(spark, d):
     hits = retrieve.bm25(retrieve.tokenised(_documents(spark, d), tx.search_tokens("text")), intents, 5)
     own = hits.join(intents.select("query_id", "_q", "intent_index"), "query_id").select(F.col("_q").alias("query_id"), "intent_index", "record_id", F.col("rank").alias("hybrid_rank"))
     return retrieve.multi_intent(own, None).select("query_id", "record_id", F.col("intent_index").cast("long").alias("intent_index"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_brand, CASE p_partkey % 3 WHEN 0 THEN 'line size' WHEN 1 THEN 'flow' ELSE 'material code' END AS parameter FROM part)
+, q AS (SELECT DISTINCT p_brand, CAST(substr(p_brand, 7) AS BIGINT) AS query_id FROM part)
+, i AS (SELECT query_id, p_brand, unnest([0, 1, 2]) AS k, unnest(['line size', 'flow', 'unknown thing of ' || p_brand]) AS intent FROM q)
+, hits AS (SELECT p_brand, parameter, p_partkey, row_number() OVER (PARTITION BY p_brand, parameter ORDER BY p_partkey) AS rank FROM r QUALIFY rank <= 10)
+SELECT query_id, CAST(k AS BIGINT) AS intent_index, intent, CAST(p_partkey AS VARCHAR) AS record_id, rank FROM i LEFT JOIN hits ON hits.p_brand = i.p_brand AND hits.parameter = i.intent
+""")
+def structured_multi_intent(spark, d):
+    part = table(spark, d, "part")
+    named = F.when(F.col("p_partkey") % 3 == 0, "Line Size").when(F.col("p_partkey") % 3 == 1, "Flow").otherwise("Material Code")
+    none = [_null().alias(c) for c in ("section", "subsection", "sub_parameter", "side")]
+    own = part.select(F.col("p_partkey").cast("string").alias("record_id"), F.col("p_partkey").alias("ord"), F.col("p_brand").alias("item"), named.alias("parameter"), *none)
+    asked = part.select("p_brand").distinct().select(F.substring("p_brand", 7, 2).cast("long").alias("query_id"), F.concat(F.lit("Show me line size and flow, unknown thing of "), F.col("p_brand"), F.lit("?")).alias("query"))
+    found = questions.structured_multi_intent(own, asked)
+    return found.select("query_id", F.col("intent_index").cast("long").alias("intent_index"), "intent", "record_id", F.col("rank").cast("long").alias("rank"))
