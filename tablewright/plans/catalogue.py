@@ -166,7 +166,8 @@ def _bench_queries(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.search_tokens("text").alias("terms"), F.lit("en").alias("q_item"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("q_section"), F.lit("text").alias("q_parameter"))
 
 
-def _bm25_sql() -> str:
+def _bm25_sql(asked: str = "SELECT item_id AS query_id, text FROM benchmark", k: int = 10) -> str:
+    """The best ``k`` documents of each of the ``asked`` queries as ``bm25``."""
     norm = """trim(regexp_replace(translate(lower(coalesce(text, '')), '“”’', '""'''''), '[^a-z0-9"''./+\\-]+', ' ', 'g'))"""
     return f"""
 docs AS (SELECT doc_id, item, section, list_filter(string_split(n, ' '), lambda t: t <> '') AS ts FROM (SELECT doc_id, lang AS item, source AS section, {norm} AS n FROM documents)),
@@ -174,10 +175,10 @@ stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM docs),
 posts AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM docs) GROUP BY ALL),
 raw AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts, stats GROUP BY term, n),
 idfs AS (SELECT term, CASE WHEN idf < 0 THEN (SELECT 0.25 * avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
-asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(string_split(n, ' '), lambda t: t <> '')) AS term FROM (SELECT item_id, {norm} AS n FROM benchmark)) GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(list_filter(string_split(n, ' '), lambda t: t <> '')) AS term FROM (SELECT query_id, {norm} AS n FROM ({asked}))) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN idfs USING (term) JOIN posts USING (term), stats GROUP BY ALL),
 filled AS (SELECT q.query_id, d.doc_id, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT query_id FROM asked) q CROSS JOIN docs d LEFT JOIN scored s ON s.query_id = q.query_id AND s.doc_id = d.doc_id),
-bm25 AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM filled QUALIFY rank <= 10)"""
+bm25 AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM filled QUALIFY rank <= {k})"""
 
 
 @query(f"WITH {_bm25_sql()} SELECT query_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM bm25")
@@ -523,7 +524,14 @@ def chunk_pack(spark, d):
     return own.select("doc_id", F.col("part").cast("long").alias("part"), F.length("content").cast("long").alias("characters"), F.sha2("content", 256).alias("content_sha256"))
 
 
-@query()
+_INTENTS = _SPLIT.replace("conv_id, turn", "item_id").replace("FROM conversations", "FROM benchmark")
+
+
+@query(f"""
+WITH intents AS ({_INTENTS}), {_bm25_sql("SELECT item_id || '#' || intent_index AS query_id, intent AS text FROM intents", 5)}
+, own AS (SELECT item_id, intent_index, b.doc_id, rank AS r, row_number() OVER (PARTITION BY item_id, b.doc_id ORDER BY intent_index, rank) AS seen FROM bm25 b JOIN intents i ON b.query_id = i.item_id || '#' || i.intent_index)
+SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(intent_index AS BIGINT) AS intent_index, row_number() OVER (PARTITION BY item_id ORDER BY intent_index, r) AS rank FROM own WHERE seen = 1
+""")
 def multi_intent_search(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("_q"), F.col("text").alias("query"))
     intents = questions.split_intents(asked.withColumn("query_id", F.col("_q"))).withColumn("query_id", F.concat_ws("#", F.col("_q").cast("string"), "intent_index")).withColumn("terms", tx.search_tokens("intent"))
