@@ -25,7 +25,7 @@ ORDER = 3
 """Words of the longest n-grams; 2 or more."""
 STRENGTH = 200.0
 """Pseudo-count of the unigram distribution in each word's context (Dirichlet smoothing)."""
-DEEP_STRENGTH = 100.0
+DEEP_STRENGTH = 20.0
 """Pseudo-count of the shorter context's distribution in each longer context."""
 SPLIT = 16
 """Parts of a word's successors; they lie in different shards, so no word's successors fill one."""
