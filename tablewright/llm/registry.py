@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, lm_trie, quality_fm, secrets_scan, warc_zip
+from tablewright.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    langid,
+    line_dedup,
+    lm_trie,
+    quality_fm,
+    secrets_scan,
+    simhash_ball,
+    warc_zip,
+)
 
 QUERIES = {
     "op1_secret_scans": secrets_scan.op1_secret_scans,
@@ -15,6 +27,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_language_id": langid.op10_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op11_simhash": simhash_ball.op11_simhash,
 }
 
 ORACLES = {
