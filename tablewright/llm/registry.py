@@ -10,6 +10,7 @@ from tablewright.llm import (
     langid,
     line_dedup,
     lm_trie,
+    prefix_trie,
     quality_fm,
     secrets_scan,
     simhash_ball,
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op11_simhash": simhash_ball.op11_simhash,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
