@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tablewright.llm import (
     bpe,
+    collocations,
     decontaminate,
     exact_dedup,
     jaccard_join,
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op11_simhash": simhash_ball.op11_simhash,
+    "op12_collocations": collocations.op12_collocations,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
@@ -36,5 +38,6 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_prefix_trie": prefix_trie.SQL,
 }
