@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
-from tablewright.operators import catalog, context, evaluate, layout, pages, questions, records, retrieve
+from tablewright.operators import catalog, context, evaluate, inverted, layout, pages, questions, records, retrieve
 from tablewright.sources.tables import cut, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,8 +183,8 @@ bm25 AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (P
 
 @query(f"WITH {_bm25_sql()} SELECT query_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM bm25")
 def bm25_topk(spark, d):
-    index = retrieve.tokenised(_documents(spark, d), tx.search_tokens("text"))
-    return retrieve.bm25(index, _bench_queries(spark, d), 10).select("query_id", "record_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    index = inverted.bm25_index(_documents(spark, d), tx.search_tokens("text"))
+    return inverted.bm25(index, _bench_queries(spark, d), 10).select("query_id", "record_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 _STRUCTURED = """
@@ -207,13 +207,13 @@ def _asking(spark, d) -> DataFrame:
 @query(f"WITH {_bm25_sql()}, {_STRUCTURED}, {_FUSE.format(keep='')}")
 def rrf_hybrid(spark, d):
     own = _documents(spark, d)
-    return _fused(retrieve.hybrid_v1(own.drop("text"), retrieve.tokenised(own, tx.search_tokens("text")), _asking(spark, d)))
+    return _fused(retrieve.hybrid_v1(own.drop("text"), inverted.bm25_index(own, tx.search_tokens("text")), _asking(spark, d)))
 
 
 @query(f"WITH {_bm25_sql()}, {_STRUCTURED}, {_FUSE.format(keep=chr(32) + 'SEMI JOIN (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.lang = ' + repr('en') + ' AND d.source = ' + repr('src') + ' || CAST(b.item_id % 20 AS VARCHAR)) g ON g.item_id = bm25.query_id AND g.doc_id = bm25.doc_id')}")
 def hybrid_v2(spark, d):
     own = _documents(spark, d)
-    return _fused(retrieve.hybrid_v2(own.drop("text"), retrieve.tokenised(own, tx.search_tokens("text")), _asking(spark, d)))
+    return _fused(retrieve.hybrid_v2(own.drop("text"), inverted.bm25_index(own, tx.search_tokens("text")), _asking(spark, d)))
 
 
 _SPLIT = r"""
@@ -535,7 +535,7 @@ SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(intent_in
 def multi_intent_search(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("_q"), F.col("text").alias("query"))
     intents = questions.split_intents(asked.withColumn("query_id", F.col("_q"))).withColumn("query_id", F.concat_ws("#", F.col("_q").cast("string"), "intent_index")).withColumn("terms", tx.search_tokens("intent"))
-    hits = retrieve.bm25(retrieve.tokenised(_documents(spark, d), tx.search_tokens("text")), intents, 5)
+    hits = inverted.bm25(inverted.bm25_index(_documents(spark, d), tx.search_tokens("text")), intents, 5)
     own = hits.join(intents.select("query_id", "_q", "intent_index"), "query_id").select(F.col("_q").alias("query_id"), "intent_index", "record_id", F.col("rank").alias("hybrid_rank"))
     return retrieve.multi_intent(own, None).select("query_id", "record_id", F.col("intent_index").cast("long").alias("intent_index"), F.col("rank").cast("long").alias("rank"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
-from tablewright.operators import catalog, context, evaluate, questions, records, retrieve
+from tablewright.operators import catalog, context, evaluate, inverted, questions, records, retrieve
 from tablewright.sources import datasets, parsed, vectors
 from tablewright.sources.tables import cut
 from tests.test_questions import SCHEMA, asked, seven_pages
@@ -21,7 +21,7 @@ def recs(spark):
 
 @pytest.fixture(scope="module")
 def posted(recs):
-    return cut(retrieve.tokenised(recs, tx.search_tokens(retrieve.search_text(recs))))
+    return inverted.bm25_index(recs, tx.search_tokens(retrieve.search_text(recs)))
 
 
 def test_structured_multi_intent(spark, recs):

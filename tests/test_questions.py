@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
-from tablewright.operators import catalog, context, evaluate, questions, records, retrieve
+from tablewright.operators import catalog, context, evaluate, inverted, questions, records, retrieve
 from tablewright.sources.tables import cut
 
 ITEMS = [f"UNIT-{k}A" for k in range(1, 8)]
@@ -30,7 +30,7 @@ def recs(spark):
 
 @pytest.fixture(scope="module")
 def posted(recs):
-    return cut(retrieve.tokenised(recs, tx.search_tokens(retrieve.search_text(recs))))
+    return inverted.bm25_index(recs, tx.search_tokens(retrieve.search_text(recs)))
 
 
 def asked(spark, *texts):
@@ -89,7 +89,7 @@ def test_bm25_matches_a_plain_loop(spark, recs, posted):
     floor = 0.25 * sum(raw.values()) / len(raw)
     idf = {w: v if v >= 0 else floor for w, v in raw.items()}
     q = asked(spark, "flow flow of unit-3a", "zzz qqq", "material unit-7a value", "").withColumn("terms", tx.search_tokens("query"))
-    got = ids(retrieve.bm25(posted, q, 10))
+    got = ids(inverted.bm25(posted, q, 10))
     for k, text in enumerate(["flow flow of unit-3a", "zzz qqq", "material unit-7a value"]):
         score = lambda t: sum(idf.get(w, 0) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in text.split())  # noqa: B023, E731
         assert got[k] == [d for d, _ in sorted(docs.items(), key=lambda x: (-round(score(x[1][1]), 9), x[1][0]))[:10]]
@@ -215,10 +215,9 @@ def test_questions_about_an_item_are_split(spark, recs, posted, known):
 
 def test_bm25_in_blocks_and_without_documents(spark, posted, monkeypatch):
     q = asked(spark, "flow of unit-3a", "material unit-7a", "zzz").withColumn("terms", tx.search_tokens("query"))
-    whole = ids(retrieve.bm25(posted, q, 7))
-    bare = ids(retrieve.bm25(posted, q, 7, fill=False))
+    whole = ids(inverted.bm25(posted, q, 7))
+    bare = ids(inverted.bm25(posted, q, 7, fill=False))
     assert 2 not in bare and all(whole[k][: len(bare[k])] == bare[k][:7] for k in bare)
-    monkeypatch.setattr(retrieve, "BM25_ENTRIES", 2)
-    monkeypatch.setattr(retrieve, "BM25_CELLS", 16)
-    assert ids(retrieve.bm25(posted, q, 7)) == whole
-    assert retrieve.bm25(posted.limit(0), q, 7).collect() == [] and retrieve.bm25(posted, q.limit(0), 7).collect() == []
+    monkeypatch.setattr(inverted, "QUERY_ENTRIES", 2)
+    assert ids(inverted.bm25(posted, q, 7)) == whole
+    assert inverted.bm25(posted.limit(0), q, 7).collect() == [] and inverted.bm25(posted, q.limit(0), 7).collect() == []
