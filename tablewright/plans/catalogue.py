@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
-from tablewright.operators import catalog, context, evaluate, inverted, layout, pages, questions, records, retrieve
+from tablewright.operators import catalog, context, evaluate, inverted, layout, nearest, pages, questions, records, retrieve
 from tablewright.sources.tables import cut, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,7 +312,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 def _vector_hits(spark, d) -> DataFrame:
     own = retrieve.unit(table(spark, d, "embeddings")).select(F.col("vec_id").alias("record_id"), "embedding", "label")
     asked = own.filter("record_id % 100 = 0").select(F.col("record_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
-    hits = retrieve.vector_top(own.select("record_id", "embedding"), asked, 6).filter("record_id <> query_id")
+    hits = nearest.vector_top(nearest.vector_index(own.select("record_id", "embedding")), asked, 6).filter("record_id <> query_id")
     return retrieve.top(hits.drop("rank"), [F.desc("score"), "record_id"], 5)
 
 

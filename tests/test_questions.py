@@ -159,15 +159,6 @@ def test_metrics_and_edges(spark):
     assert [evaluate.full_query_hit(golden, intents, parts, k).first()[1] for k in (1, 2)] == [False, True]
 
 
-def test_vectors(spark):
-    rows = [(k, [float(k % 3), float(k % 5), 1.0]) for k in range(30)] + [(99, [0.0, 0.0, 0.0])]
-    own = retrieve.unit(spark.createDataFrame(rows, "record_id int, embedding array<float>"))
-    asking = own.filter("record_id < 3").select(F.col("record_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
-    for most in (1, 100):
-        hits = ids(retrieve.vector_top(own, asking, 3, most=most))
-        assert all(hits[k][0] == k for k in range(3)) and hits[0] == [0, 15, 3] or hits[0][:2] == [0, 15]
-
-
 def test_more_than_ten_thousand_short_terms_all_match(spark):
     own = [chr(0x4E00 + k // 110) + chr(0x5E00 + k % 110) for k in range(12_000)]
     terms = spark.createDataFrame([(t, t) for t in [*own, "z"]], "value string, norm string")
