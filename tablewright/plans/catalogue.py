@@ -240,7 +240,7 @@ def best_schema_term(spark, d):
     after = own.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("_next"))
     asked = own.join(after, "p_partkey", "left").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("show "), "p_name", F.lit(" for "), F.coalesce("_next", F.lit("none"))).alias("query")).withColumn("_t", tx.phrase_tokens("query"))
     vocabulary = own.select("p_name").distinct().select(F.lit("parameter").alias("kind"), F.col("p_name").alias("value")).withColumn("tokens", tx.phrase_tokens("value")).withColumn("n_tokens", F.size("tokens")).withColumn("n_chars", F.length("value"))
-    return questions.best_term(asked, vocabulary, "_t", "parameter", "term").filter("term IS NOT NULL").select("query_id", "term")
+    return questions.best_term(asked, vocabulary, "_t", {"parameter": "term"}).filter("term IS NOT NULL").select("query_id", "term")
 
 
 @query("""

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
 from tablewright.operators import catalog, context, evaluate, inverted, questions, records, retrieve
+from tablewright.operators.vocabulary import with_best
 from tablewright.sources.tables import cut
 
 ITEMS = [f"UNIT-{k}A" for k in range(1, 8)]
@@ -163,7 +164,7 @@ def test_more_than_ten_thousand_short_terms_all_match(spark):
     own = [chr(0x4E00 + k // 110) + chr(0x5E00 + k % 110) for k in range(12_000)]
     terms = spark.createDataFrame([(t, t) for t in [*own, "z"]], "value string, norm string")
     queries = spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(own)] + [(-1, "z"), (-2, ""), (-3, "a"), (-4, None)], "query_id long, q string")
-    got = {r.query_id: r.hit for r in questions.contained(queries, terms, "q", "norm", "hit").collect()}
+    got = {r.query_id: r.hit for r in with_best(queries, questions.names_of(terms, "x"), "q", {"x": "hit"}).collect()}
     assert got == dict(enumerate(own)) | {-1: "z", -2: None, -3: None, -4: None}
 
 
