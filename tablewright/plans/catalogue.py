@@ -166,11 +166,14 @@ def _bench_queries(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.search_tokens("text").alias("terms"), F.lit("en").alias("q_item"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("q_section"), F.lit("text").alias("q_parameter"))
 
 
-def _bm25_sql(asked: str = "SELECT item_id AS query_id, text FROM benchmark", k: int = 10) -> str:
+_DOCS = "SELECT doc_id, lang AS item, source AS section, text FROM documents"
+
+
+def bm25_sql(asked: str = "SELECT item_id AS query_id, text FROM benchmark", k: int = 10, docs: str = _DOCS) -> str:
     """The best ``k`` documents of each of the ``asked`` queries as ``bm25``."""
     norm = """trim(regexp_replace(translate(lower(coalesce(text, '')), '“”’', '""'''''), '[^a-z0-9"''./+\\-]+', ' ', 'g'))"""
     return f"""
-docs AS (SELECT doc_id, item, section, list_filter(string_split(n, ' '), lambda t: t <> '') AS ts FROM (SELECT doc_id, lang AS item, source AS section, {norm} AS n FROM documents)),
+docs AS (SELECT doc_id, item, section, list_filter(string_split(n, ' '), lambda t: t <> '') AS ts FROM (SELECT doc_id, item, section, {norm} AS n FROM ({docs}))),
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM docs),
 posts AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM docs) GROUP BY ALL),
 raw AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts, stats GROUP BY term, n),
@@ -181,7 +184,7 @@ filled AS (SELECT q.query_id, d.doc_id, coalesce(s.score, 0) AS score FROM (SELE
 bm25 AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM filled QUALIFY rank <= {k})"""
 
 
-@query(f"WITH {_bm25_sql()} SELECT query_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM bm25")
+@query(f"WITH {bm25_sql()} SELECT query_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM bm25")
 def bm25_topk(spark, d):
     index = inverted.bm25_index(_documents(spark, d), tx.search_tokens("text"))
     return inverted.bm25(index, _bench_queries(spark, d), 10).select("query_id", "record_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
@@ -204,13 +207,13 @@ def _asking(spark, d) -> DataFrame:
     return _bench_queries(spark, d).withColumns({"q_subsection": _null(), "q_sub_parameter": _null(), "q_side": _null()})
 
 
-@query(f"WITH {_bm25_sql()}, {_STRUCTURED}, {_FUSE.format(keep='')}")
+@query(f"WITH {bm25_sql()}, {_STRUCTURED}, {_FUSE.format(keep='')}")
 def rrf_hybrid(spark, d):
     own = _documents(spark, d)
     return _fused(retrieve.hybrid_v1(own.drop("text"), inverted.bm25_index(own, tx.search_tokens("text")), _asking(spark, d)))
 
 
-@query(f"WITH {_bm25_sql()}, {_STRUCTURED}, {_FUSE.format(keep=chr(32) + 'SEMI JOIN (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.lang = ' + repr('en') + ' AND d.source = ' + repr('src') + ' || CAST(b.item_id % 20 AS VARCHAR)) g ON g.item_id = bm25.query_id AND g.doc_id = bm25.doc_id')}")
+@query(f"WITH {bm25_sql()}, {_STRUCTURED}, {_FUSE.format(keep=chr(32) + 'SEMI JOIN (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.lang = ' + repr('en') + ' AND d.source = ' + repr('src') + ' || CAST(b.item_id % 20 AS VARCHAR)) g ON g.item_id = bm25.query_id AND g.doc_id = bm25.doc_id')}")
 def hybrid_v2(spark, d):
     own = _documents(spark, d)
     return _fused(retrieve.hybrid_v2(own.drop("text"), inverted.bm25_index(own, tx.search_tokens("text")), _asking(spark, d)))
@@ -528,7 +531,7 @@ _INTENTS = _SPLIT.replace("conv_id, turn", "item_id").replace("FROM conversation
 
 
 @query(f"""
-WITH intents AS ({_INTENTS}), {_bm25_sql("SELECT item_id || '#' || intent_index AS query_id, intent AS text FROM intents", 5)}
+WITH intents AS ({_INTENTS}), {bm25_sql("SELECT item_id || '#' || intent_index AS query_id, intent AS text FROM intents", 5)}
 , own AS (SELECT item_id, intent_index, b.doc_id, rank AS r, row_number() OVER (PARTITION BY item_id, b.doc_id ORDER BY intent_index, rank) AS seen FROM bm25 b JOIN intents i ON b.query_id = i.item_id || '#' || i.intent_index)
 SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS record_id, CAST(intent_index AS BIGINT) AS intent_index, row_number() OVER (PARTITION BY item_id ORDER BY intent_index, r) AS rank FROM own WHERE seen = 1
 """)
