@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
+from tablewright.operators.scan import State, range_blocks, scan
 
 MAX_CHARS = 1800
 CELL = "struct<row:int,column:int,rowspan:int,colspan:int,text:string>"
@@ -180,24 +184,81 @@ def table_rows(cells: Column) -> Column:
     return F.transform(rows, lambda r: F.array_join(F.transform(F.filter(cells, lambda c: c["row"] == r), shown), " | "))
 
 
-def packed(parts: Column, separator: str, most: int) -> Column:
-    """Texts joined greedily, none longer than ``most`` unless a part is."""
+def _breaks(lengths: np.ndarray, separator: int, most: int) -> list[int]:
+    """Where the parts of these lengths are cut when they are joined greedily: the first part of each text, and the end.
+
+    Each next cut is sought in the running lengths, so the work is that of the texts made and not of the parts joined.
+    """
+    running = np.concatenate([[0], np.cumsum(lengths.astype(np.int64) + separator)])
+    cuts = [0]
+    while cuts[-1] < len(lengths):
+        far = int(np.searchsorted(running, running[cuts[-1]] + most + separator, side="right")) - 1
+        cuts.append(max(far, cuts[-1] + 1))
+    return cuts
+
+
+def _cuts(separator: int, most: int):
+    """A UDF of the cuts for each list of lengths; only numbers go to Python."""
+
+    @F.arrow_udf("array<array<int>>")
+    def cuts(lengths: pa.Array) -> pa.Array:
+        inner = lengths.flatten()
+        numbers = inner.flatten().to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        found = [_breaks(numbers[e - s : e], separator, most) for e, s in zip(ends, sizes, strict=True)]
+        marks = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32())
+        flat = pa.ListArray.from_arrays(marks, pa.array([x for f in found for x in f], pa.int32()))
+        outer = pc.fill_null(pc.list_value_length(lengths), 0).to_numpy(zero_copy_only=False)
+        null = np.append(lengths.is_null().to_numpy(zero_copy_only=False), False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(outer)]), pa.int32(), mask=null), flat)
+
+    return cuts
+
+
+def _joined(parts: Column, at: Column, i: Column, separator: str) -> Column:
+    """The parts from the i-th cut (from 1) to the next one as one text."""
+    return F.array_join(F.slice(parts, F.element_at(at, i) + 1, F.element_at(at, i + 1) - F.element_at(at, i)), separator)
+
+
+def packed(lists: Column, separator: str, most: int) -> Column:
+    """Each list of texts of a list joined greedily to texts none of which is longer than ``most``, unless a part is."""
+    cuts = _cuts(len(separator), most)(F.transform(lists, lambda parts: F.transform(parts, F.length)))
+    texts = lambda parts, at: F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda i: _joined(parts, at, i, separator))
+    return F.zip_with(lists, cuts, lambda parts, at: F.when(F.size(at) > 1, texts(parts, at)).otherwise(F.array().cast("array<string>")))
+
+
+def packed_rows(rows: Column, separator: str, most: int) -> Column:
+    """As ``packed`` for one short list, the rows of a table, without a UDF: the work grows with the square of the texts made."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
 
-    def step(acc, part):
-        longer = F.concat(acc["now"], F.lit(separator), part)
+    def step(acc: Column, row: Column) -> Column:
+        longer = F.concat(acc["now"], F.lit(separator), row)
         full = acc["now"].isNotNull() & (F.length(longer) > most)
-        return F.struct(F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), F.when(acc["now"].isNull() | full, part).otherwise(longer).alias("now"))
+        done = F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(acc["now"].isNull() | full, row).otherwise(longer).alias("now"))
 
-    return F.aggregate(parts, start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])))
+    return F.aggregate(rows, start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])))
 
 
 def split_text(c: Column | str, most: int = MAX_CHARS) -> Column:
-    """Chunks of at most ``most`` characters: paragraphs packed together, longer ones by sentences; a longer sentence stays whole."""
+    """Chunks of at most ``most`` characters: paragraphs packed together, longer ones by sentences; a longer sentence stays whole. Null and blank give none."""
     text = tx.clean_chunk(c)
     paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), tx.clean_chunk), lambda p: p != "")
-    pieces = F.transform(packed(paragraphs, "\n\n", most), lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(packed(F.split(p, r"(?<=[.!?])\s+"), " ", most)))
-    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= most, F.array(text)).otherwise(F.flatten(pieces))
+    # a paragraph that is too long is packed with no other, so its sentences don't depend on how paragraphs are packed
+    none = F.array().cast("array<string>")
+    parts = packed(F.transform(paragraphs, lambda p: F.when(F.length(p) > most, F.split(p, r"(?<=[.!?])\s+")).otherwise(none)), " ", most)
+    cuts = _cuts(2, most)(F.array(F.transform(paragraphs, F.length)))[0]
+    # all three go into the lambda as one variable, so that they are computed once
+    held = F.array(F.struct(paragraphs.alias("p"), parts.alias("s"), cuts.alias("c")))
+
+    def texts(w: Column) -> Column:
+        own = lambda i: F.get(w["s"], F.element_at(w["c"], i))
+        one = lambda i: F.when(F.size(own(i)) > 0, own(i)).otherwise(F.array(_joined(w["p"], w["c"], i, "\n\n")))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(w["c"]) - 1), one))
+
+    whole = F.flatten(F.transform(held, texts))
+    return F.when(text == "", none).when(F.length(text) <= most, F.array(text)).otherwise(whole)
 
 
 def without_header(c: Column, marks: tuple[str, ...] = tx.HEADER_MARKS) -> Column:
@@ -228,16 +289,17 @@ def semantic_lines(blocks: DataFrame) -> DataFrame:
 
 
 def with_hierarchy(lines: DataFrame) -> DataFrame:
-    """``section``, ``subsection`` and ``clause`` in force at each line of a document, across its blocks and pages; a higher heading clears the lower ones."""
+    """``section``, ``subsection`` and ``clause`` in force at each line of a document, across its blocks and pages; a higher heading clears the lower ones.
+
+    A segmented scan over ranges of documents and places, so a document of any number of lines lies in many tasks.
+    """
     order = ["page", "block_index", "body_index", "line"]
-    run = lambda parts: Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = lines
-    parts = ["path"]
-    for level, name in ((1, "section"), (2, "subsection"), (3, "clause")):
-        out = out.withColumn(name, F.last(F.when(F.col("level") == level, F.col("text")), True).over(run(parts)))
-        out = out.withColumn(f"_n{level}", F.count_if(F.col("level") <= level).over(run(["path"])))
-        parts = ["path", f"_n{level}"]
-    return out.drop("_n1", "_n2", "_n3")
+    own, cleared = F.struct(F.col("text").alias("v")), F.struct(F.lit(None).cast("string").alias("v"))
+    names = ("section", "subsection", "clause")
+    heads = {f"_h{n}": F.when(F.col("level") == n, own).when(F.col("level") < n, cleared) for n in (1, 2, 3)}
+    ranged = range_blocks(lines.withColumns(heads), ["path"], order)
+    out = scan(ranged, ["path"], order, [State(h, "last", F.col(h)) for h in heads], F.col("_block"))
+    return out.select(*lines.drop(*names).columns, *[F.col(f"{h}.v").alias(name) for h, name in zip(heads, names, strict=True)])
 
 
 def chunks(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
@@ -251,10 +313,11 @@ def chunks(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     lines = lines.withColumn("_island", F.sum((F.col("kind") != "text").cast("int")).over(own))
     heads = lines.filter("kind <> 'text'").select(*spot, "line", F.lit(0).alias("part"), F.lit("heading").alias("content_type"), F.col("text").alias("content"), "section", "subsection", "clause")
     buffers = lines.filter("kind = 'text'").groupBy(*spot, "_island").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("_t"), F.max_by(F.struct("section", "subsection", "clause"), "line").alias("h"))
-    texts = buffers.select(*spot, "line", F.posexplode(split_text("_t", most)).alias("part", "content"), "h.*").withColumn("content_type", F.lit("text"))
+    texts = buffers.withColumn("_parts", split_text("_t", most)).select(*spot, "line", F.posexplode("_parts").alias("part", "content"), "h.*").withColumn("content_type", F.lit("text"))
     body = F.coalesce("body_index", F.lit(0)).alias("body_index") if "body_index" in blocks.columns else F.lit(0).alias("body_index")
     real = blocks.filter(F.col("type") == "table").filter(real_table(F.col("cells"), F.col("row_count"), F.col("column_count")))
-    tables = real.select("path", "page", "block_index", body, F.lit(0).alias("line"), F.posexplode(packed(table_rows(F.col("cells")), "\n", most)).alias("part", "content")).withColumn("content_type", F.lit("table"))
+    tables = real.select("path", "page", "block_index", body, F.lit(0).alias("line"), F.posexplode(packed_rows(table_rows(F.col("cells")), "\n", most)).alias("part", "content"))
+    tables = tables.withColumn("content_type", F.lit("table"))
     images = blocks.filter(F.col("type") == "image").select("path", "page", "block_index", body, F.lit(0).alias("line"), F.lit(0).alias("part"), F.concat(F.lit("Image reference: "), F.coalesce(*[F.col(c) for c in ("image_path", "text") if c in blocks.columns])).alias("content")).withColumn("content_type", F.lit("image"))
     every = heads.unionByName(texts).unionByName(tables, allowMissingColumns=True).unionByName(images, allowMissingColumns=True)
     order = ["page", "block_index", "body_index", "line", "part"]

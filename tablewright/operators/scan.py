@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.sources.tables import cut
+
 BLOCK_ROWS = 1 << 16
 """Positions of a block."""
 
@@ -30,6 +32,15 @@ def block_of(position: Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("long")
 
 
+def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_block") -> DataFrame:
+    """``df`` written once in ranges of ``keys`` and ``order``, with the range's number as ``name``: blocks of any segment, however its positions lie.
+
+    A segment that holds most rows lies in as many ranges as its rows need. Rows that tie in all of ``order`` share a range.
+    """
+    ranged = df.repartitionByRange(*[F.col(f"`{c}`") for c in keys], *[F.col(f"`{c}`") for c in order])
+    return cut(ranged.withColumn(name, F.spark_partition_id().cast("long")), "ranges")
+
+
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], states: Sequence[State], block: Column) -> DataFrame:
     """``df`` with the running value of each of ``states`` within each segment (``keys``) in ``order``.
 

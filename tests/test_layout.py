@@ -88,3 +88,40 @@ def test_page_rules(spark):
     assert {(r.page_number, r.field) for r in pages.rederive(own, changed).collect()} == {(1, "text_complexity"), (2, "text_complexity")}
     status = {r.page_number: r.overall_status for r in pages.reconcile(pages.classify(own), own.filter("page_number > 1")).collect()}
     assert status[1] == "CONTRADICTION" and status[3] == "REVIEW_REQUIRED"
+
+
+def test_cuts_are_those_of_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    lists = [["x" * rng.randrange(12) for _ in range(rng.randrange(30))] for _ in range(40)] + [[], ["y" * 99], ["", "", ""]]
+    got = [r.s for r in spark.createDataFrame([(k, [t, []]) for k, t in enumerate(lists)], "k int, t array<array<string>>").repartition(3).select("k", layout.packed(F.col("t"), "--", 20).alias("s")).orderBy("k").collect()]
+    for parts, (made, none) in zip(lists, got, strict=True):
+        want = []
+        for part in parts:
+            if want and len(want[-1]) + 2 + len(part) <= 20:
+                want[-1] += "--" + part
+            else:
+                want.append(part)
+        assert made == want and none == []
+
+
+def test_work_of_cuts_is_that_of_the_texts_made():
+    import time
+
+    import numpy as np
+
+    began = time.time()
+    assert len(layout._breaks(np.ones(2_000_000, np.int32), 1, 9_999)) == 401 and time.time() - began < 5
+    assert layout._breaks(np.array([5, 5, 50, 1]), 1, 11) == [0, 2, 3, 4]
+
+
+def test_hierarchy_of_a_long_document(spark):
+    lines = spark.range(300_000).select(
+        F.lit("d").alias("path"), F.lit(1).alias("page"), F.lit(0).alias("block_index"), F.lit(0).alias("body_index"), F.col("id").alias("line"),
+        F.when(F.col("id") % 1000 == 0, 1).when(F.col("id") % 100 == 0, 2).alias("level"), F.col("id").cast("string").alias("text"),
+    )
+    got = layout.with_hierarchy(lines)
+    same = lambda name, by: F.col(name).cast("long") == F.floor(F.col("line") / by) * by
+    sub = F.when(F.col("line") % 1000 < 100, F.col("subsection").isNull()).otherwise(same("subsection", 100))
+    assert got.filter(~same("section", 1000) | ~sub | F.col("clause").isNotNull()).isEmpty() and got.count() == 300_000
