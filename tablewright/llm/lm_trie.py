@@ -38,23 +38,28 @@ COUNT_TEXT = 4 << 20
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 MAGIC = b"EFNGRAM3"
 
-# Counts are quantised to 8 bits: 1 to 64 exactly, then geometrically up to 10^13.
-LEVELS = np.concatenate([np.arange(1, 65), 64 * np.exp(np.arange(1, 193) * np.log(1.145))])
-EDGES = np.sqrt(LEVELS[1:] * LEVELS[:-1])
+# Counts are quantised downwards to 8 bits: 1 to 64 exactly, then geometrically up to 10^13.
+RATIO = 1.145
+LEVELS = np.concatenate([np.arange(1, 65), 64 * np.exp(np.arange(1, 193) * np.log(RATIO))])
 
 
-# Smoothed probabilities are quantised to 8 bits: 0, then 10^-9 to 1 in equal ratios.
+# Smoothed probabilities are quantised downwards to 8 bits: 0, then 10^-9 to 1 in equal ratios.
 PROBABILITIES = np.concatenate([[0.0], np.geomspace(1e-9, 1, 255)])
-CUTS = np.sqrt(PROBABILITIES[2:] * PROBABILITIES[1:-1])
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(EDGES, counts).astype(np.uint8)
+    """Codes of counts of 1 and more: the largest level that is not above the count."""
+    return (np.searchsorted(LEVELS, counts, side="right") - 1).astype(np.uint8)
+
+
+def at_most(seen: np.ndarray) -> np.ndarray:
+    """What a count that was quantised to ``seen`` can have been at most; 0 stays."""
+    return np.where(seen < 64, seen, seen * RATIO)
 
 
 def quantised_probability(p: np.ndarray) -> np.ndarray:
-    """Codes of probabilities above 0."""
-    return (np.searchsorted(CUTS, p) + 1).astype(np.uint8)
+    """Codes of probabilities: the largest level that is not above."""
+    return (np.searchsorted(PROBABILITIES, p, side="right") - 1).astype(np.uint8)
 
 
 def narrow(values: np.ndarray) -> bytes:
@@ -301,7 +306,11 @@ class Model:
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, known tokens, base score and model score of each row, in log10."""
+        """Tokens, known tokens, base score and model score of each row, in log10.
+
+        Counts and probabilities are rounded down, and a context's weight of the shorter one is taken from the largest count that it can have had, so in every
+        context the probabilities of all words and one unknown sum to 1 at most.
+        """
         rows = len(offsets) - 1
         row, hashed = tokens(data, offsets)
         distinct, place = np.unique(hashed, return_inverse=True)
@@ -331,7 +340,7 @@ class Model:
                     own = order[a:b]
                     found[at[own]], part[at[own]], more[at[own]] = self.by_context[number].below(level, parent[own], deep_part(hashed[at[own]]))
             deep = self.by_context[0].strength if self.by_context else 0.0
-            p[at] = part[at] + deep / (seen[at - 1] + deep) * p[at]
+            p[at] = part[at] + deep / (at_most(seen[at - 1]) + deep) * p[at]
             moved = np.zeros(len(row), np.int32)
             moved[at] = shard
             home, rank, seen = moved, found, more
