@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tablewright.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid
 from tablewright.llm.shared import materialise, small
 
+TOKENS = ("n_tokens", "ids", "ids_sha256", "decoded_sha256", "decoded")
+"""Columns that the last stage makes, the last of them for itself alone."""
 LEAST_SCORE = 0.5
 """Probability of the predicted language below which a document is rejected."""
 
@@ -40,11 +42,27 @@ def digest() -> Column:
     return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``docs`` has it, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without letters or of an unsure language go."""
+    """Documents in a language that can be told; those without letters or of an unsure language go.
+
+    Null and empty texts have no letters and go; very long ones are read whole. Repeated rows share their fate. All columns are kept,
+    whatever their names. An empty table gives an empty one.
+    """
     model = langid.fit(docs.filter(~langid.held_out("doc_id", 4, 2)))
-    found = langid.predict(docs, model, carry=True, names=("_lang", "_sure"))
-    return found.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_sure") >= LEAST_SCORE)).select(*columns(docs))
+    told, sure = unused(docs, "_lang", "_sure")
+    found = langid.predict(docs, model, carry=True, names=(told, sure))
+    return found.filter((F.col(told) != langid.UNKNOWN) & (F.col(sure) >= LEAST_SCORE)).select(*columns(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,19 +79,35 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones, that of the smallest doc_id."""
+    """One document of each component of similar ones, that of the smallest doc_id.
+
+    Texts without words, null ones too, are linked with nothing and stay. Rows with a null or repeated doc_id are judged each on its own, null
+    last. Texts are read whole. All columns are kept; an empty table gives an empty one.
+    """
     return without(docs, lambda own: jaccard_join.jaccard_components(own).filter("doc_id <> component_id"), "similar")
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; without benchmark items all stay. Rows with a null or repeated doc_id are judged each on its own.
+    Texts are read whole. All columns are kept; an empty table gives an empty one.
+    """
     return without(docs, lambda own: decontaminate.contamination(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids (binary, little-endian unsigned 32-bit) and hashes of ids and decoded text."""
-    coded = bpe.bpe_encode(docs, *bpe.production(), carry=True, digest=True)
-    return coded.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.lower(F.hex("decoded"))}).drop("decoded")
+    """The documents with ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit), ``ids_sha256`` and ``decoded_sha256``.
+
+    Null and empty texts have no ids; very long ones are encoded whole; repeated rows alike. All columns are kept: one that has the name of a
+    new column as ``<name>_own``. An empty table gives an empty one.
+    """
+    renamed = dict(zip(TOKENS, unused(docs, *[f"{c}_own" for c in TOKENS]), strict=True))
+    own = docs.select(*[F.col(f"`{c}`").alias(renamed.get(c.lower(), c)) for c in docs.columns])
+    coded = bpe.bpe_encode(own, *bpe.production(), carry=True, digest=True)
+    whole = coded.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.lower(F.hex("decoded"))}).drop("decoded")
+    kept = [c for c in docs.columns if c.lower() == "decoded"]
+    return whole.withColumnsRenamed({renamed["decoded"]: c for c in kept})
 
 
 STAGES = [

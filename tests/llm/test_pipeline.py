@@ -85,3 +85,18 @@ def test_dotted_and_clashing_column_names(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns[:6] == ["doc_id", "text", "lang", "n.chars", "score", "_id"] or name == "byte_bpe"
     assert [(r["doc_id"], r["n.chars"], r["score"], r["_id"]) for r in docs.collect()] == [(2, 6, "y", 8)]
+
+
+def test_columns_named_like_those_of_the_stages_are_kept(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k, f"aeio rst nae {k}", "aa", "mine", 0.25, "d", b"i", 9, "s", "t") for k in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang string, _SURE double, decoded string, ids binary, N_TOKENS int, ids_sha256 string, _row string")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "byte_bpe":
+            assert docs.columns == ["doc_id", "text", "lang", "_lang", "_SURE", "decoded", "ids", "N_TOKENS", "ids_sha256", "_row"]
+    got = docs.collect()
+    assert len(got) == 2 and len(docs.columns) == len({c.lower() for c in docs.columns})
+    for r in got:
+        assert (r["_lang"], r["_SURE"], r["decoded"], bytes(r["ids_own"]), r["n_tokens_own"], r["ids_sha256_own"], r["_row"]) == ("mine", 0.25, "d", b"i", 9, "s", "t")
+        assert r["n_tokens"] == len(r["ids"]) // 4 and len(r["decoded_sha256"]) == 64
