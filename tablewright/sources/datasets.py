@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.sources.json_split import json_elements
+
 # The schema name and keys of dataset files.
 DATASET_NAME = "complex-table-rag-dataset"
 ROOT_KEYS = ("schema", "dataset", "pages")
@@ -49,8 +51,7 @@ def dataset_page(files: DataFrame, number: int) -> DataFrame:
 
 def dataset_rows(files: DataFrame) -> DataFrame:
     """One row per source row with its page, in order (``page_pos``, ``row_pos``)."""
-    pages = dataset_pages(files)
-    return pages.select("path", "page_pos", "page", "table_id", "equipment", F.posexplode("rows").alias("row_pos", "row_json"))
+    return page_rows(dataset_pages(files))
 
 
 def dataset_statistics(files: DataFrame) -> DataFrame:
@@ -100,6 +101,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Retrieval records of JSON files, be the root a list or an object with one of the known keys; ``ord`` is the source order."""
     listed = F.coalesce(*[F.from_json(F.get_json_object("json", f"$.{k}"), f"array<{RECORD}>") for k in RECORD_ROOTS], F.when(F.trim("json").startswith("["), F.from_json("json", f"array<{RECORD}>")))
     rows = read_whole(spark, path).select("path", F.posexplode(listed).alias("ord", "r")).select("path", F.col("ord").cast("long").alias("ord"), "r.*")
+    return _with_values(rows)
+
+
+def read_split_records(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """As ``read_records`` for files of any size, whose list is that of ``key``, or without it the root: a file is read by many tasks."""
+    own = json_elements(spark, path, key).select("path", "ord", F.from_json("json", RECORD).alias("r"))
+    return _with_values(own.select("path", "ord", "r.*"))
+
+
+def split_pages(spark: SparkSession, path: str) -> DataFrame:
+    """As ``dataset_pages`` for files of any size: a page, not a file, must fit in a row."""
+    pages = json_elements(spark, path, "pages").select("path", F.col("ord").cast("int").alias("page_pos"), F.col("json").alias("page_json"))
+    return pages.select("path", "page_pos", "page_json", F.from_json("page_json", PAGE).alias("p")).select("path", "page_pos", "page_json", "p.*")
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """One row per source row of ``dataset_pages`` or ``split_pages``, in order (``page_pos``, ``row_pos``)."""
+    return pages.select("path", "page_pos", "page", "table_id", "equipment", F.posexplode("rows").alias("row_pos", "row_json"))
+
+
+def _with_values(rows: DataFrame) -> DataFrame:
     return rows.withColumn("values_json", F.transform_values("values", lambda k, v: F.to_json(v))).withColumn("values", F.transform_values("values", lambda k, v: v.cast("string")))
 
 

@@ -12,16 +12,17 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` written to the shared folder and read again: several branches can follow without planning or computing it anew.
-
-    The folder is spark.checkpoint.dir, which driver and executors share, or where none is set the warehouse.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share, or where none is set below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/tablewright-{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tablewright-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` written to the shared folder and read again: several branches can follow without planning or computing it anew."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 SPREAD_BYTES = 32 << 20
