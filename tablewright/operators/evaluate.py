@@ -15,15 +15,22 @@ def metrics(golden: DataFrame, hits: DataFrame, ks: tuple[int, ...] = KS, empty:
 
     Precision at k divides by what was returned, at most k. ``empty`` says what a query that expects nothing scores: ``zero``; ``match`` (1 if
     nothing came back, else 0); ``null``. A record that comes back twice counts once, at its first rank.
+
+    Where a query expects more records than a row should hold, ``golden`` has ``expected_count`` in place of ``expected``, and ``hits`` say for themselves
+    whether they are ``relevant``.
     """
-    wanted = golden.select("query_id", F.explode(F.array_distinct("expected")).alias("record_id")).withColumn("rel", F.lit(1))
-    one = hits.groupBy("query_id", "record_id").agg(F.min("rank").alias("rank"))
-    marked = one.join(wanted, ["query_id", "record_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    if "expected" in golden.columns:
+        wanted = golden.select("query_id", F.explode(F.array_distinct("expected")).alias("record_id")).withColumn("rel", F.lit(1))
+        one = hits.groupBy("query_id", "record_id").agg(F.min("rank").alias("rank"))
+        marked = one.join(wanted, ["query_id", "record_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+        golden = golden.withColumn("expected_count", F.size(F.array_distinct("expected")))
+    else:
+        marked = hits.groupBy("query_id", "record_id").agg(F.min("rank").alias("rank"), F.max(F.coalesce("relevant", F.lit(False)).cast("int")).alias("rel"))
     counts = [F.count("*").alias("returned"), F.sum("rel").alias("found"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first")]
     for k in ks:
         counts += [F.count_if(F.col("rank") <= k).alias(f"n{k}"), F.sum(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)).alias(f"r{k}")]
     whole = golden.join(marked.groupBy("query_id").agg(*counts), "query_id", "left").fillna(0, ["returned", "found", *[f"n{k}" for k in ks], *[f"r{k}" for k in ks]])
-    size = F.size(F.array_distinct("expected"))
+    size = F.col("expected_count")
     none = {"zero": F.lit(0.0), "match": F.when(F.col("returned") == 0, 1.0).otherwise(0.0), "null": F.lit(None).cast("double")}[empty]
     of = lambda value: F.when(size == 0, none).otherwise(value)
     part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)

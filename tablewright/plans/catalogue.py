@@ -332,10 +332,14 @@ m AS (SELECT g.query_id, 'label ' || CAST(g.label AS VARCHAR) AS category, count
 
 
 def _scores(spark, d) -> DataFrame:
+    """Metrics of the vector search, records of the query's label being relevant: told hit by hit, and how many there are by counts."""
     own = table(spark, d, "embeddings").select("vec_id", "label")
-    wanted = own.groupBy("label").agg(F.collect_list("vec_id").alias("_all"))
-    golden = own.filter("vec_id % 100 = 0").join(wanted, "label").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("category"), F.array_except("_all", F.array("vec_id")).alias("expected"))
-    return evaluate.metrics(golden, _vector_hits(spark, d))
+    sizes = own.groupBy("label").agg((F.count("*") - 1).alias("expected_count"))
+    named = F.concat(F.lit("label "), F.col("label").cast("string")).alias("category")
+    golden = own.filter("vec_id % 100 = 0").join(sizes, "label").select(F.col("vec_id").alias("query_id"), named, "expected_count")
+    hits = _vector_hits(spark, d).join(own.select(F.col("vec_id").alias("record_id"), F.col("label").alias("_own")), "record_id")
+    hits = hits.join(own.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_asked")), "query_id")
+    return evaluate.metrics(golden, hits.select("query_id", "record_id", "rank", (F.col("_own") == F.col("_asked")).alias("relevant")))
 
 
 @query(f"WITH {_VECTORS}, {_METRICS} SELECT query_id, category, returned, CAST(found AS BIGINT) AS found, round(rr, 6) AS reciprocal_rank, hit1 AS hit_at_1, hit3 AS hit_at_3, round(p3, 6) AS precision_at_3, round(p, 6) AS precision, round(r, 6) AS recall FROM m".replace("hit1 AS", "CAST(hit1 AS DOUBLE) AS").replace("hit3 AS", "CAST(hit3 AS DOUBLE) AS"))

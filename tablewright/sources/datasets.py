@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.sources.json_split import json_elements
@@ -125,9 +125,17 @@ def _with_values(rows: DataFrame) -> DataFrame:
     return rows.withColumn("values_json", F.transform_values("values", lambda k, v: F.to_json(v))).withColumn("values", F.transform_values("values", lambda k, v: v.cast("string")))
 
 
-def write_records(records: DataFrame, path: str, form: str = "parquet") -> None:
-    """Write records, replacing what is there; ``form`` is parquet or json."""
-    records.write.mode("overwrite").format(form).save(path)
+def write_records(records: DataFrame, path: str, form: str = "parquet", counters: dict[str, Column] | None = None) -> dict[str, object]:
+    """Write records, replacing what is there; ``form`` is parquet or json. Returns ``counters`` (aggregates by name) over what was written.
+
+    They are observed in the job that writes, so the records are made once. Aggregates of distinct values cannot be observed.
+    """
+    if not counters:
+        records.write.mode("overwrite").format(form).save(path)
+        return {}
+    seen = Observation()
+    records.observe(seen, *[c.alias(name) for name, c in counters.items()]).write.mode("overwrite").format(form).save(path)
+    return seen.get
 
 
 def read_by_page(spark: SparkSession, pattern: str, wanted: DataFrame, page_col: str = "page_number") -> DataFrame:

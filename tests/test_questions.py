@@ -213,3 +213,12 @@ def test_bm25_in_blocks_and_without_documents(spark, posted, monkeypatch):
     monkeypatch.setattr(inverted, "QUERY_ENTRIES", 2)
     assert ids(inverted.bm25(posted, q, 7)) == whole
     assert inverted.bm25(posted.limit(0), q, 7).collect() == [] and inverted.bm25(posted, q.limit(0), 7).collect() == []
+
+
+def test_metrics_of_hits_that_tell_their_relevance(spark):
+    golden = spark.createDataFrame([(1, "a", ["x", "y", "z"]), (2, "a", []), (3, "b", ["q"])], "query_id int, category string, expected array<string>")
+    hits = spark.createDataFrame([(1, "w", 1), (1, "x", 2), (1, "x", 4), (1, "y", 3), (2, "x", 1)], "query_id int, record_id string, rank int")
+    wanted = golden.select("query_id", F.explode("expected").alias("record_id"), F.lit(True).alias("relevant"))
+    told = hits.join(wanted, ["query_id", "record_id"], "left")
+    counted = golden.select("query_id", "category", F.size("expected").alias("expected_count"))
+    assert sorted(map(tuple, evaluate.metrics(counted, told).collect())) == sorted(map(tuple, evaluate.metrics(golden, hits).collect()))

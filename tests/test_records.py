@@ -125,3 +125,14 @@ def test_emptiness_of_deep_objects(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(empty + full)], "k int, t string")
     got = {r.k: r.e for r in rows.select("k", records.json_empty(F.col("t")).alias("e")).collect()}
     assert [got[k] for k in range(len(got))] == [True] * len(empty) + [False] * len(full)
+
+
+def test_counters_of_what_is_written_equal_a_scan(spark, tmp_path):
+    rows = [("s", None, "p", None, None, "inlet", {"a": "1"}), (None, None, "p", "q", None, None, {}), ("", None, None, None, None, None, None)]
+    own = spark.createDataFrame(rows * 3, "section string, subsection string, parameter string, sub_parameter string, sub_sub_parameter string, side string, values_json map<string,string>").repartition(3)
+    made = records.retrieval_text(own)
+    found = datasets.write_records(made, f"file://{tmp_path}/out", counters=records.counters())
+    assert found == made.agg(*[c.alias(n) for n, c in records.counters().items()]).first().asDict() and found["records"] == 9 and found["side_records"] == 3
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 9 and datasets.write_records(made, f"file://{tmp_path}/out") == {}
+    none = datasets.write_records(made.limit(0), f"file://{tmp_path}/none", counters=records.counters())
+    assert none["records"] == none["characters"] == 0
