@@ -14,6 +14,9 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
     Every round takes the smallest label among the neighbours and then the label's own label, so chains
     shorten by more than half and the rounds grow with the logarithm of the longest chain. Labels are
     written to the shared folder each round; only the count of changes reaches the driver.
+
+    Repeated links and such in both directions count once; a link of a node to itself gives the node a row. Links with a null on either side must be
+    taken out before: null is no node. No links: no rows.
     """
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     labels = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), name)

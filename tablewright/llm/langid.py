@@ -128,7 +128,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     label. What reaches the driver grows with the number of labels alone: one count per bucket, the labels' counts
     and the sample's n-gram counts; every label is learned. Rows of null text or label teach nothing, empty texts only
     their label's share; a repeated row counts as often as it occurs, though one identifier is drawn as a whole or not
-    at all; texts are read whole, and other columns are not read.
+    at all; texts are read whole, and other columns are not read. The temperature is fitted on a tenth of the sample, which the weights
+    do not see, if the sample has 50 rows or more; with fewer it stays 1, and probabilities are not calibrated.
     """
     rows = spread(docs).select(F.col(label_col).cast("string").alias("_label"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("_draw")).filter("_label IS NOT NULL AND _text IS NOT NULL")
     bounded(docs.sparkSession)

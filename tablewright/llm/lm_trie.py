@@ -361,6 +361,8 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     one entry per chunk. An n-gram is in the shard of its first two words, so all levels below the words are one
     trie there. Counts are over all rows and whole texts; the shards' number and bytes grow with the
     corpus. Spark's writer commits the shards (each the one row of a text file), so lost tasks can be run again.
+    A null or empty text counts its end alone, repeated rows count each, very long texts are counted whole and other columns are not read.
+    An empty table gives a model that knows nothing.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
