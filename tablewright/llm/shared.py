@@ -13,13 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.sources.tables import spread
+from tablewright.sources.tables import bounded, spread
 
 CHUNK_BYTES = 2 << 20
 """Bytes of text handled at once; a longer text is a chunk of its own."""
-BATCH_BYTES = 4 << 20
-"""Bytes of rows that go to a Python worker at once, about; 10,000 rows of any length would be Spark's own measure."""
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _MASK = (1 << 64) - 1
 
@@ -41,13 +38,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(spark: SparkSession) -> None:
-    """Bound the bytes of the session's Arrow batches, unless it has a tighter bound."""
-    now = spark.conf.get(_BATCH_CONF).rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
-
-
 def whole_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _text) of every row; a null text counts as empty, other columns are left behind."""
     bounded(df.sparkSession)
