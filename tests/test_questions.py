@@ -122,6 +122,24 @@ def test_adapter_modes(spark, recs, posted, known):
     assert got[6] == ["p05_r30"]
 
 
+def test_alike_questions_are_answered_once(spark, recs, posted, known, monkeypatch):
+    monkeypatch.setattr(questions, "CLASS_QUERIES", 2)
+    terms, items, entries, fields, values = known
+    texts = ["What is the inlet line size of UNIT-1A?", "tell the inlet line size of UNIT-1A", "list the water conditions", "material code of any unit", "what colour is it"]
+    q = asked(spark, *[t for t in texts for _ in range(5)])
+    intents = questions.unknown_identifier(questions.understand(q, terms, items, entries, fields), fields)
+    own, answers = questions.adapter_answers(intents, recs, posted, values)
+    lists = {}
+    for r in sorted(answers.collect(), key=lambda r: r["rank"]):
+        lists.setdefault(r.class_id, []).append(r.record_id)
+    assert sorted(len(v) for v in lists.values()) == [1, 5, 14]  # three lists for twenty questions that have answers
+    every = {}
+    for r in sorted(questions.of_classes(own, answers, "left").collect(), key=lambda r: r["rank"] or 0):
+        every.setdefault(r.query_id, []).append(r.record_id)
+    assert len(every) == 25 and all(every[k] == lists.get(r.class_id, [None]) for k, r in {r.query_id: r for r in own.collect()}.items())
+    assert every[0] == every[9] == ["p01_r8_inlet"] and every[24] == [None]
+
+
 def test_context_prompt_and_answers(spark, recs, posted, known):
     terms, items, entries, fields, values = known
     q = asked(spark, "What is the inlet line size of UNIT-1A?", "what colour is it")
