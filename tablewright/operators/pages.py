@@ -176,6 +176,20 @@ def contained_spans(spans: DataFrame, rectangles: DataFrame, cell: float = 64.0)
     return own.join(wide, ["page_number", "gx", "gy"]).filter(held).select("page_number", "span_id", "rect_id")
 
 
+def contained_counts(spans: DataFrame, rectangles: DataFrame, cell: float = 64.0) -> DataFrame:
+    """(rect_id, spans): how many spans each rectangle holds, where it holds any; frames as for ``contained_spans``.
+
+    Spans of equal place are counted first and rectangles of equal place asked once, so pairs are made of distinct places alone, never of
+    all spans and rectangles; their number grows with the places, not with the rows.
+    """
+    box = ["page_number", "x0", "y0", "x1", "y1"]
+    places = spans.groupBy(*box).agg(F.count("*").alias("_n")).withColumn("span_id", F.col("_n"))
+    shape = F.struct(*box)
+    pairs = contained_spans(places, rectangles.select(*box).distinct().withColumn("rect_id", shape), cell)
+    held = pairs.groupBy(F.col("rect_id").alias("_shape")).agg(F.sum("span_id").alias("_held"))
+    return rectangles.select("rect_id", shape.alias("_shape")).join(held, "_shape").groupBy("rect_id").agg(F.sum("_held").alias("spans"))
+
+
 def line_kind(dx: Column, dy: Column) -> Column:
     """A drawn line counts as horizontal or vertical from 20 points on with a skew of 1 at most."""
     return F.when((F.abs(dx) >= 20) & (F.abs(dy) <= 1), "horizontal").when((F.abs(dy) >= 20) & (F.abs(dx) <= 1), "vertical")

@@ -125,3 +125,19 @@ def test_hierarchy_of_a_long_document(spark):
     same = lambda name, by: F.col(name).cast("long") == F.floor(F.col("line") / by) * by
     sub = F.when(F.col("line") % 1000 < 100, F.col("subsection").isNull()).otherwise(same("subsection", 100))
     assert got.filter(~same("section", 1000) | ~sub | F.col("clause").isNotNull()).isEmpty() and got.count() == 300_000
+
+
+def test_contained_spans_are_counted_by_places(spark, monkeypatch):
+    rows = [(k % 3, 5 * n + k, float(k % 7), float(k % 4), k % 7 + 1.0, k % 4 + 1.5) for n in range(4) for k in range(5)] + [(0, 99, None, 1.0, 2.0, 2.0)]
+    rects = [(n % 3, n % 25, float(n % 5), 0.0, n % 5 + 4.0, 4.0 + n % 2) for n in range(30)]
+    spans = spark.createDataFrame(rows, "page_number long, span_id long, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame(rects, "page_number long, rect_id long, x0 double, y0 double, x1 double, y1 double")
+    want = {}
+    for p, _, x0, y0, x1, y1 in rows:
+        for q, r, a, b, c, d in rects:
+            if x0 is not None and p == q and x0 >= a and y0 >= b and x1 <= c and y1 <= d:
+                want[r] = want.get(r, 0) + 1
+    made, pairs = [], pages.contained_spans
+    monkeypatch.setattr(pages, "contained_spans", lambda *a: made.append((a[0].count(), pairs(*a).count())) or pairs(*a))
+    assert {r.rect_id: r.spans for r in pages.contained_counts(spans, boxes).collect()} == want
+    assert made[0][0] == 6 and made[0][1] <= sum(want.values()) // 4  # pairs of places, not of rows
