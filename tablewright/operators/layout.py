@@ -241,24 +241,50 @@ def packed_rows(rows: Column, separator: str, most: int) -> Column:
     return F.aggregate(rows, start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])))
 
 
+def _paragraphs(text: Column) -> Column:
+    """The paragraphs of a clean text; a part of a clean text is clean but for its ends."""
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), tx.strip), lambda p: p != "")
+
+
+def _sentences(paragraphs: Column, most: int) -> Column:
+    """The sentences of each paragraph that is too long; it is packed with no other, so they don't depend on how paragraphs are packed."""
+    return F.transform(paragraphs, lambda p: F.when(F.length(p) > most, F.split(p, r"(?<=[.!?])\s+")).otherwise(F.array().cast("array<string>")))
+
+
+def _texts(paragraphs: Column, parts: Column, cuts: Column) -> Column:
+    """The chunks: paragraphs joined from cut to cut, or the packed sentences of a paragraph that stands alone."""
+    own = lambda i: F.get(parts, F.element_at(cuts, i))
+    one = lambda i: F.when(F.size(own(i)) > 0, own(i)).otherwise(F.array(_joined(paragraphs, cuts, i, "\n\n")))
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), one))
+
+
 def split_text(c: Column | str, most: int = MAX_CHARS) -> Column:
-    """Chunks of at most ``most`` characters: paragraphs packed together, longer ones by sentences; a longer sentence stays whole. Null and blank give none."""
+    """Chunks of at most ``most`` characters: paragraphs packed together, longer ones by sentences; a longer sentence stays whole. Null and blank give none.
+
+    One expression, in which the text is cleaned and parted several times; ``with_chunks`` does each step once.
+    """
     text = tx.clean_chunk(c)
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), tx.clean_chunk), lambda p: p != "")
-    # a paragraph that is too long is packed with no other, so its sentences don't depend on how paragraphs are packed
-    none = F.array().cast("array<string>")
-    parts = packed(F.transform(paragraphs, lambda p: F.when(F.length(p) > most, F.split(p, r"(?<=[.!?])\s+")).otherwise(none)), " ", most)
+    paragraphs = _paragraphs(text)
+    parts = packed(_sentences(paragraphs, most), " ", most)
     cuts = _cuts(2, most)(F.array(F.transform(paragraphs, F.length)))[0]
     # all three go into the lambda as one variable, so that they are computed once
     held = F.array(F.struct(paragraphs.alias("p"), parts.alias("s"), cuts.alias("c")))
+    whole = F.flatten(F.transform(held, lambda w: _texts(w["p"], w["s"], w["c"])))
+    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= most, F.array(text)).otherwise(whole)
 
-    def texts(w: Column) -> Column:
-        own = lambda i: F.get(w["s"], F.element_at(w["c"], i))
-        one = lambda i: F.when(F.size(own(i)) > 0, own(i)).otherwise(F.array(_joined(w["p"], w["c"], i, "\n\n")))
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(w["c"]) - 1), one))
 
-    whole = F.flatten(F.transform(held, texts))
-    return F.when(text == "", none).when(F.length(text) <= most, F.array(text)).otherwise(whole)
+def with_chunks(df: DataFrame, text: str, name: str, most: int = MAX_CHARS) -> DataFrame:
+    """``df`` with the chunks of ``text`` (as ``split_text``) as ``name``: the text is cleaned once, and only one that is too long is parted, once.
+
+    Explode the chunks by ``posexplode_outer``: from an inner one Spark infers a filter that it pushes down, which would do all of it again.
+    """
+    own = df.withColumn("_clean", tx.clean_chunk(text))
+    own = own.withColumn("_ps", F.when(F.length("_clean") > most, _paragraphs(F.col("_clean"))))
+    own = own.withColumn("_ss", _sentences(F.col("_ps"), most))
+    own = own.withColumn("_s", packed(F.col("_ss"), " ", most)).withColumn("_c", _cuts(2, most)(F.array(F.transform("_ps", F.length)))[0])
+    none = F.array().cast("array<string>")
+    made = F.when(F.col("_clean") == "", none).when(F.col("_ps").isNull(), F.array("_clean")).otherwise(_texts(F.col("_ps"), F.col("_s"), F.col("_c")))
+    return own.withColumn(name, made).drop("_clean", "_ps", "_ss", "_s", "_c")
 
 
 def without_header(c: Column, marks: tuple[str, ...] = tx.HEADER_MARKS) -> Column:
@@ -313,7 +339,7 @@ def chunks(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     lines = lines.withColumn("_island", F.sum((F.col("kind") != "text").cast("int")).over(own))
     heads = lines.filter("kind <> 'text'").select(*spot, "line", F.lit(0).alias("part"), F.lit("heading").alias("content_type"), F.col("text").alias("content"), "section", "subsection", "clause")
     buffers = lines.filter("kind = 'text'").groupBy(*spot, "_island").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("_t"), F.max_by(F.struct("section", "subsection", "clause"), "line").alias("h"))
-    texts = buffers.withColumn("_parts", split_text("_t", most)).select(*spot, "line", F.posexplode("_parts").alias("part", "content"), "h.*").withColumn("content_type", F.lit("text"))
+    texts = with_chunks(buffers, "_t", "_parts", most).select(*spot, "line", F.posexplode_outer("_parts").alias("part", "content"), "h.*").filter("part IS NOT NULL").withColumn("content_type", F.lit("text"))
     body = F.coalesce("body_index", F.lit(0)).alias("body_index") if "body_index" in blocks.columns else F.lit(0).alias("body_index")
     real = blocks.filter(F.col("type") == "table").filter(real_table(F.col("cells"), F.col("row_count"), F.col("column_count")))
     tables = real.select("path", "page", "block_index", body, F.lit(0).alias("line"), F.posexplode(packed_rows(table_rows(F.col("cells")), "\n", most)).alias("part", "content"))

@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from tablewright.operators import layout, pages
+from tablewright.plans import catalogue
 
 
 def clean(t):
@@ -141,3 +142,12 @@ def test_contained_spans_are_counted_by_places(spark, monkeypatch):
     monkeypatch.setattr(pages, "contained_spans", lambda *a: made.append((a[0].count(), pairs(*a).count())) or pairs(*a))
     assert {r.rect_id: r.spans for r in pages.contained_counts(spans, boxes).collect()} == want
     assert made[0][0] == 6 and made[0][1] <= sum(want.values()) // 4  # pairs of places, not of rows
+
+
+def test_chunks_of_a_table_are_those_of_the_expression_and_texts_are_cleaned_once(spark):
+    texts = [None, "", "  a\u00a0 b\r\n c ", "One two. Three! " * 9, "para one\n\n\x0bpara two \n \n" + "Long sentence here. " * 6 + "\n\nend", "\n\n".join(["x" * 30] * 5)]
+    own = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    want = [r.c for r in own.select("k", layout.split_text("t", 40).alias("c")).orderBy("k").collect()]
+    assert [r.c for r in layout.with_chunks(own, "t", "c", 40).orderBy("k").collect()] == want and len(want[4]) > 3
+    plan = catalogue.QUERIES["chunk_pack"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
