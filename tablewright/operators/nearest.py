@@ -70,10 +70,12 @@ def vector_index(vectors: DataFrame, groups: int | None = None) -> DataFrame:
     Vectors are put into the group of their nearest centre, and each group is cut into pages of at most ``PAGE_ROWS``, so a group that
     holds most vectors is many pages in many tasks. A page has ``page``, ``records``, ``vectors`` (float64), ``n``, ``centre`` and ``radius`` (the largest distance from
     the centre). All vectors must have one length; rows without identifier or vector, or with a null in it, are left out; repeated rows stay. No vectors: no pages.
+    Vectors are written once before: the filter for nulls would be pushed into what computes them, and run for each element and in each pass.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["record_id"].dataType
-    own = vectors.filter(F.col("record_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select("record_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    own = cut(vectors.select("record_id", F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
+    own = own.filter(F.col("record_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
     shared = spark.sparkContext.broadcast(centres(own, groups))
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,3 +52,15 @@ def test_no_vectors_and_no_queries(spark):
     none = nearest.vector_index(own.limit(0))
     assert none.collect() == [] and nearest.vector_top(none, asked(own)).collect() == []
     assert nearest.vector_top(nearest.vector_index(own), asked(own.limit(0))).collect() == []
+
+
+def test_vectors_are_computed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(vector):
+        calls.add(1)
+        return vector
+
+    own = frame(spark, range(60), np.eye(60)).withColumn("embedding", F.udf(counted, "array<float>")("embedding"))
+    index = nearest.vector_index(own, 3)
+    assert index.groupBy().sum("n").first()[0] == 60 and calls.value == 60
