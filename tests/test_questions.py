@@ -140,6 +140,18 @@ def test_alike_questions_are_answered_once(spark, recs, posted, known, monkeypat
     assert every[0] == every[9] == ["p01_r8_inlet"] and every[24] == [None]
 
 
+def test_plans_of_the_adapter_hold_few_tables(spark, recs, posted, known, monkeypatch):
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    terms, items, entries, fields, values = known
+    q = asked(spark, "What is the inlet line size of UNIT-1A?", "list the water conditions", "material code of any unit")
+    intents = cut(questions.unknown_identifier(questions.understand(q, terms, items, entries, fields), fields))
+    written = {}
+    monkeypatch.setattr(questions, "cut", lambda df, name="cut": (written.setdefault(name, []).append(leaves(df)), cut(df, name))[1])
+    questions.adapter_answers(intents, recs, posted, values)
+    assert max(map(max, written.values())) <= 12, written
+    assert max(written["listed"]) <= 3, written  # a table of pairs for each mode
+
+
 def test_context_prompt_and_answers(spark, recs, posted, known):
     terms, items, entries, fields, values = known
     q = asked(spark, "What is the inlet line size of UNIT-1A?", "what colour is it")
